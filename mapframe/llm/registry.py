@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapframe.llm import decontamination, warc
+from mapframe.llm import decontamination, top_k, warc
 from mapframe.llm.packing import op2_packing
 from mapframe.llm.token_files import op8_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_top_k": top_k.op3_top_k,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_warc": warc.op6_warc,
     "op8_token_files": op8_token_files,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_top_k": top_k.ORACLE_SQL,
     "op5_decontamination": decontamination.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
 }
