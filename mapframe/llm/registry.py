@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapframe.llm import decontamination, top_k, warc
+from mapframe.llm import decontamination, simhash, top_k, warc
 from mapframe.llm.packing import op2_packing
 from mapframe.llm.token_files import op8_token_files
 
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_warc": warc.op6_warc,
     "op8_token_files": op8_token_files,
+    "op9_simhash": simhash.op9_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_top_k": top_k.ORACLE_SQL,
