@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapframe.llm import decontamination, simhash, top_k, warc
+from mapframe.llm import decontamination, line_dedup, simhash, top_k, warc
 from mapframe.llm.packing import op2_packing
 from mapframe.llm.token_files import op8_token_files
 
@@ -17,9 +17,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": warc.op6_warc,
     "op8_token_files": op8_token_files,
     "op9_simhash": simhash.op9_simhash,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_top_k": top_k.ORACLE_SQL,
     "op5_decontamination": decontamination.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
+    "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
