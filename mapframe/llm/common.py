@@ -146,10 +146,11 @@ def bytes_of(array: pa.Array) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8)[raw[0] : raw[-1]] if data is not None and len(array) else np.zeros(0, np.uint8)
 
 
-def byte_table(separators: bytes) -> np.ndarray:
+def byte_table(separators: bytes, lower: bool = True) -> np.ndarray:
     """A translation of single bytes: A-Z to a-z, each separator to a space. Bytes of other characters stay."""
     table = np.arange(256, dtype=np.uint8)
-    table[65:91] += 32
+    if lower:
+        table[65:91] += 32
     table[np.frombuffer(separators, np.uint8)] = 32
     return table
 
@@ -160,14 +161,14 @@ WHITE = bytes([0x20, *range(0x09, 0x0E)])
 NOT_WORD = bytes(b for b in range(0x80) if not (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A))
 
 
-def words(texts: pa.Array, separators: bytes) -> tuple[pa.Array, np.ndarray]:
-    """``(all words of all texts, offsets per text)``, A-Z lower-cased, split at runs of separator bytes.
+def words(texts: pa.Array, separators: bytes, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """``(all words of all texts, offsets per text)``, split at runs of separator bytes, A-Z lower-cased if ``lower``.
 
     Works on the bytes of the whole block at once: every separator is ASCII, so no UTF-8 sequence is cut.
     """
     if not len(texts):
         return pa.array([], pa.string()), np.zeros(1, np.int64)
-    data = byte_table(separators)[bytes_of(texts)]
+    data = byte_table(separators, lower)[bytes_of(texts)]
     bounds = offsets_of(texts)
     start, end = word_spans(data, bounds)
     counts = np.searchsorted(start, bounds)

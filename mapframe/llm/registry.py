@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapframe.llm import decontamination, line_dedup, simhash, top_k, warc
+from mapframe.llm import decontamination, line_dedup, quality, simhash, top_k, warc
 from mapframe.llm.packing import op2_packing
 from mapframe.llm.token_files import op8_token_files
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_top_k": top_k.op3_top_k,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_warc": warc.op6_warc,
+    "op7_quality": quality.op7_quality,
     "op8_token_files": op8_token_files,
     "op9_simhash": simhash.op9_simhash,
     "op10_line_dedup": line_dedup.op10_line_dedup,
