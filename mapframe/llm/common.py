@@ -127,6 +127,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 held, size = [], 0
     if held:
         yield _joined(held)
+        held = []
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task: give back what the blocks took
 
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:

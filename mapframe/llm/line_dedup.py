@@ -113,7 +113,7 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 def _occurrences(keyed: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, most=2 << 20):
             lines = Lines(block.column("text"), least)
             ids = [lines.hash(lines.first, lines.last, k) for k in (0, 1)]
             row = pa.array(lines.text)
