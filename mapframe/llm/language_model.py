@@ -1,7 +1,8 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax, beside a unigram base.
 
 ``P(w | h) = P(class(w) | h) * P(w | class(w))``. The class factor is a softmax over hashed features of the history h:
-the word before, the word before that (a skip), both together, and a bias. It is trained by distributed gradient
+the ending of the word before, that of the word before it (a skip), both together, and a bias; endings, of up to three
+bytes, say something about words that were never seen. It is trained by distributed gradient
 updates: in each round every task runs stochastic gradients over its share of the training documents from the weights
 broadcast to it, and the changes, weighted by how often each feature was seen, are averaged by slices in a shuffle. The
 rounds take disjoint parts of the training documents, so that together they go over all of them once. The word factor
@@ -38,6 +39,8 @@ ROWS = sum(PLACES) + 1
 ROUNDS = 4
 #: Words that are broadcast at most, and the bytes that each may have.
 HOT, HOT_BYTES = 1 << 19, 64
+#: Sightings that a feature is held to have had without a lesson, so that rare ones move little.
+PRIOR = 10
 _SLICES = 16
 _BATCH = 8192
 
@@ -56,13 +59,13 @@ class Tokens:
         self.codes[ranges(self.offsets[:-1], np.diff(at))] = coded.indices.to_numpy(zero_copy_only=False)
         bounds = offsets_of(self.words) if self.end else np.zeros(1, np.int64)
         data, size = bytes_of(self.words), np.diff(bounds)
-        self.hashes = np.append(xxh64(data, bounds[:-1], size, 1), np.uint64(0))
-        tail = np.minimum(size, 3)  # a word's class is that of its last bytes; the end has one of its own
+        tail = np.minimum(size, 3)  # a word's class and its features are those of its ending; the end has its own
+        self.endings = np.append(xxh64(data, bounds[1:] - tail, tail, 1), np.uint64(0))
         self.classes = np.append(1 + (xxh64(data, bounds[1:] - tail, tail, 2) % np.uint64(CLASSES - 1)).astype(np.int64), 0)
 
     def history(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The rows of the weights that belong to the history of each token."""
-        own = self.hashes[self.codes]
+        own = self.endings[self.codes]
         one, two = np.roll(own, 1), np.roll(own, 2)
         first = self.offsets[:-1]
         one[first] = two[first] = np.uint64(3)
@@ -72,7 +75,7 @@ class Tokens:
             both = (one * np.uint64(0x9E3779B97F4A7C15)) ^ (two * np.uint64(0xC2B2AE3D27D4EB4F))
             both ^= both >> np.uint64(29)
         a, b, c = (np.uint64(p) for p in PLACES)
-        return (one % a).astype(np.int64), (PLACES[0] + (two % b).astype(np.int64)), (PLACES[0] + PLACES[1] + (both % c).astype(np.int64))
+        return (one % a).astype(np.uint16), (np.uint64(PLACES[0]) + two % b).astype(np.uint16), (np.uint64(PLACES[0] + PLACES[1]) + both % c).astype(np.uint16)
 
 
 def class_logits(weights: np.ndarray, rows: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -101,7 +104,7 @@ def descend(weights: np.ndarray, seen: np.ndarray, squares: np.ndarray, tokens:
             ordered = h[order]
             starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
             at, many = ordered[starts], np.diff(np.append(starts, len(ordered)))
-            step = np.add.reduceat(miss[order], starts, axis=0) / many[:, None]
+            step = np.add.reduceat(miss[order], starts, axis=0) / (many + PRIOR).astype(np.float32)[:, None]
             squares[at] += (step * step).mean(axis=1)
             weights[at] -= (rate * step / np.sqrt(squares[at])[:, None]).astype(np.float32)
             seen[at] += many
