@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapframe.llm import decontamination, language_model, line_dedup, quality, simhash, top_k, warc
+from mapframe.llm import decontamination, language_model, line_dedup, pii, quality, simhash, top_k, warc
 from mapframe.llm.packing import op2_packing
 from mapframe.llm.token_files import op8_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.op1_pii,
     "op2_packing": op2_packing,
     "op3_top_k": top_k.op3_top_k,
     "op4_language_model": language_model.op4_language_model,
