@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 #: Bytes of text that a Python worker holds as one block; a longer single text makes a block of its own.
 BLOCK_BYTES = 8 << 20
@@ -81,6 +82,15 @@ def drop_written(df: DataFrame) -> None:
     remove(df.sparkSession, df._mapframe_path)
 
 
+#: Rows of a side of a join that may be broadcast; a row has a few numbers, or one short list.
+MOST_BROADCAST = 500_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it was counted to be small; otherwise the join shuffles both sides."""
+    return broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
 def filesystem(uri: str):
     """``(pyarrow filesystem, path)`` of a URI or a plain local path, for Python tasks that write or map files."""
     from pyarrow import fs

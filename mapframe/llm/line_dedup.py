@@ -31,13 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapframe.llm.common import WHITE, blocks, bytes_of, drop_written, offsets_of, ranges, text_of, word_spans, written
+from mapframe.llm.common import WHITE, blocks, bounded, bytes_of, drop_written, offsets_of, ranges, text_of, word_spans, written
 from mapframe.llm.hashing import xxh64
 
 LEAST_WORDS = 5
 EDITS = 1
-#: Rows of a side that may be broadcast; a row has a few numbers, or one short list.
-MOST_BROADCAST = 500_000
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -106,11 +104,6 @@ def _mixed(x: np.ndarray, salt: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if it was counted to be small."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
-
-
 def _occurrences(keyed: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, most=2 << 20):
@@ -142,10 +135,10 @@ def _near(keyed: DataFrame, distinct: DataFrame, least: int) -> DataFrame:
     """``d, t, line`` of the distinct lines that have a verified partner standing earlier."""
     halves = distinct.select("first", F.explode(F.array("k1", "k2", "k3", "k4")).alias("k"))
     shared = written(halves.groupBy("k").count().where("count > 1").select("k"), "line-halves")
-    able = written(halves.join(_bounded(shared), "k", "left_semi").select("first.*").distinct(), "line-partners")
+    able = written(halves.join(bounded(shared), "k", "left_semi").select("first.*").distinct(), "line-partners")
     split = keyed.where("text is not null").select("d", "t", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     place = ["d", "t", "line"]
-    texts = split.withColumn("line", F.col("line").cast("long")).join(_bounded(able), place, "left_semi").dropDuplicates(place)
+    texts = split.withColumn("line", F.col("line").cast("long")).join(bounded(able), place, "left_semi").dropDuplicates(place)
     texts = written(texts, "line-texts")
     variants = written(_variants(texts, least), "line-variants")
     own = F.struct(*place)
@@ -179,7 +172,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, edits: int = EDITS) -
     gone = written(gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("line")).alias("dropped")), "dropped-lines")
     drop_written(seen)
     drop_written(distinct)
-    out = docs.join(_bounded(gone.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("dropped").alias("_dropped"))), ["_d", "_t"], "left")
+    out = docs.join(bounded(gone.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("dropped").alias("_dropped"))), ["_d", "_t"], "left")
     lines = F.split("text", "\n")
     dropped = F.coalesce("_dropped", F.array().cast("array<bigint>"))
     kept = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("_lines").cast("long") - 1), dropped)

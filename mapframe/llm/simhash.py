@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapframe.llm.common import WHITE, blocks, ranges, text_of, words, written
+from mapframe.llm.common import WHITE, blocks, bounded, ranges, text_of, words, written
 from mapframe.llm.components import components, local_labels
 from mapframe.llm.hashing import xxh64
 
@@ -73,13 +73,13 @@ def _majority(hashes: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
-    """``doc_id, fp`` (long: the 64 bits)."""
+    """``doc_id, t, fp`` (long: the 64 bits); ``t`` is a hash of the text, which tells apart rows of one id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(fingerprints_of(block.column("text"), shingle).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("t"), pa.array(fingerprints_of(block.column("text"), shingle).view(np.int64))], ["doc_id", "t", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, fp long")
 
 
 def bit_blocks(n: int, radius: int = RADIUS) -> int:
@@ -175,17 +175,42 @@ def _spanning(cell: np.ndarray, fp: np.ndarray, radius: int, most: int = 1 << 20
     return nodes[linked], nodes[labels[linked]]
 
 
-def near_duplicates(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
-    """``doc_id, fp, component_id`` for each row of ``docs(doc_id, text)``."""
+def linked(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """The :func:`fingerprints` of ``docs``, written, and ``fp, first, root``: smallest id and component of each."""
     rows = written(fingerprints(docs, shingle), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(fps.select("fp"), fps.count(), radius, group))
-    rooted = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return rows, fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+    """``doc_id, fp, component_id`` for each row of ``docs(doc_id, text)``."""
+    rows, rooted = linked(docs, shingle, radius, group)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (a null id last), of those that of the smallest
+    hash of its text, and of rows equal in both any one. Only the keys of what goes are joined to the texts."""
+    rows, rooted = linked(docs, shingle, radius, group)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")
+    keyed = rows.join(rooted.select("fp", "root"), "fp").select("root", order.alias("o"))
+    first = keyed.groupBy("root").agg(F.min("o").alias("first"))
+    keys = written(keyed.groupBy("root", "o").agg(F.count("*").alias("n")).join(first, "root").select("o.*", (F.col("o") == F.col("first")).alias("stays"), F.col("n").alias("copies")), "near-duplicates")
+    null_id, own_t = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")
+    docs = docs.withColumns({"_near_n": F.col("doc_id").isNull(), "_near_d": null_id, "_near_t": own_t})
+    on = ["_near_n", "_near_d", "_near_t"]
+    named = keys.select(F.col("n").alias("_near_n"), F.coalesce("doc_id", F.lit(0)).alias("_near_d"), F.col("t").alias("_near_t"), "stays", "copies")
+    out = docs.join(bounded(named.where("not stays").select(*on)), on, "left_anti")
+    repeated = named.where("stays and copies > 1").select(*on)
+    if not repeated.isEmpty():
+        alone = out.join(bounded(repeated), on, "left_anti")
+        out = alone.unionByName(out.join(bounded(repeated), on, "left_semi").dropDuplicates(on))
+    return out.drop(*on)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
