@@ -1,0 +1 @@
+"""Reserved: no map operator keeps state over a stream, so there is nothing here to run."""
