@@ -6,6 +6,7 @@ Nothing outside ``mapframe.llm`` imports this subpackage.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
 
 #: Bytes of text that a Python worker holds as one block; a longer single text makes a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -138,7 +139,16 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     if held:
         yield _joined(held)
         held = []
-    pa.default_memory_pool().release_unused()  # the worker waits for its next task: give back what the blocks took
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that is free to the system: a worker lives on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
