@@ -17,8 +17,10 @@ def parse_color(text: Column) -> Column:
     rest = F.regexp_replace(text, r"^\s*[+-]?", "")
     hexes, octal, decimal = (F.regexp_extract(rest, p, 1) for p in (r"^0[xX]([0-9a-fA-F]+)", r"^(0[0-7]*)", r"^([1-9][0-9]*)"))
     most = F.lit((1 << 63) - 1).cast("decimal(20,0)")
-    figures = F.when(hexes != "", F.conv(hexes, 16, 10)).when(octal != "", F.conv(octal, 8, 10)).when(decimal != "", F.conv(decimal, 10, 10)).otherwise(F.lit("0"))
-    value = F.least(figures.cast("decimal(20,0)"), most).cast("long")
+    # Strings of so many digits that they can't be below the largest number are not converted.
+    value = lambda digits, base, room: F.when(F.length(F.ltrim(digits, F.lit("0"))) > room, most).otherwise(F.conv(digits, base, 10).cast("decimal(20,0)"))
+    figures = F.when(hexes != "", value(hexes, 16, 16)).when(octal != "", value(octal, 8, 21)).when(decimal != "", value(decimal, 10, 19)).otherwise(F.lit(0).cast("decimal(20,0)"))
+    value = F.least(figures, most).cast("long")
     return F.when(sign == "-", -value).otherwise(value).bitwiseAND(F.lit(_MASK))
 
 

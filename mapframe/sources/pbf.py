@@ -7,7 +7,8 @@ partition is a run of blobs of about ``partition_bytes``; a task decodes a blob
 column pruning does not reach a Python source, each entity decodes its own fields only.
 
 Options: ``strict`` (default true: a tag key that repeats within a way is an error; otherwise the last value counts),
-``fixed_granularity`` (coordinates in steps of 100 nanodegrees whatever the block says).
+``fixed_granularity`` (coordinates in steps of 100 nanodegrees whatever the block says), ``push_filters`` (only where the session allows it:
+ranges of ids and coordinates are tested while decoding; :func:`read_pbf` sets it).
 """
 
 from __future__ import annotations
@@ -162,16 +163,6 @@ class PbfReader(DataSourceReader):
         self.columns = [f.name for f in schema.fields]
         self.bounds: dict[str, tuple[int, int]] = {}
 
-    def pushFilters(self, filters):
-        """Ranges of ids and coordinates are tested as soon as a block is decoded (``spark.sql.python.filterPushdown.enabled``)."""
-        for f in filters:
-            name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
-            if self.entity == "nodes" and name in ("node_id", "lat_nano", "lon_nano") and isinstance(f, (GreaterThanOrEqual, LessThanOrEqual)):
-                low, high = self.bounds.get(name, (-(1 << 63), (1 << 63) - 1))
-                self.bounds[name] = (max(low, f.value), high) if isinstance(f, GreaterThanOrEqual) else (low, min(high, f.value))
-            else:
-                yield f
-
     def partitions(self) -> list[Blobs]:
         out = []
         for path in (file for p in self.paths for file in listed(p)):
@@ -224,6 +215,20 @@ class PbfReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([*columns, pa.array(tags, schema.field(3).type), pa.array(third, schema.field(4).type)], schema=schema)
 
 
+class PushingReader(PbfReader):
+    """The reader for sessions with ``spark.sql.python.filterPushdown.enabled``; Spark refuses it in others."""
+
+    def pushFilters(self, filters):
+        """Ranges of ids and coordinates are tested as soon as a block is decoded."""
+        for f in filters:
+            name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if self.entity == "nodes" and name in ("node_id", "lat_nano", "lon_nano") and isinstance(f, (GreaterThanOrEqual, LessThanOrEqual)):
+                low, high = self.bounds.get(name, (-(1 << 63), (1 << 63) - 1))
+                self.bounds[name] = (max(low, f.value), high) if isinstance(f, GreaterThanOrEqual) else (low, min(high, f.value))
+            else:
+                yield f
+
+
 def _arrow(entity: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -242,7 +247,8 @@ class PbfDataSource(DataSource):
         return ENTITIES[entity]
 
     def reader(self, schema: StructType) -> PbfReader:
-        return PbfReader(dict(self.options), schema)
+        options = dict(self.options)
+        return (PushingReader if options.get("push_filters") == "true" else PbfReader)(options, schema)
 
 
 def read_pbf(spark: SparkSession, paths: str | list[str], entity: str, **options) -> DataFrame:
@@ -250,6 +256,7 @@ def read_pbf(spark: SparkSession, paths: str | list[str], entity: str, **options
     spark.dataSource.register(PbfDataSource)
     paths = [paths] if isinstance(paths, str) else paths
     reader = spark.read.format("osmpbf").option("entity", entity).option("paths", ",".join(paths))
+    reader = reader.option("push_filters", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     for key, value in options.items():
         reader = reader.option(key, str(value).lower() if isinstance(value, bool) else str(value))
     return reader.load()
