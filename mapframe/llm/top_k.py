@@ -76,10 +76,17 @@ class BallTree:
                 to.append(x)
             if hi - lo <= leaf or radii[-1] == 0:
                 continue
-            far = own[int(distance.argmax())]  # split between two far points, at the median
+            # Between two far points, each point to the nearer one; at the median if that leaves one side nearly empty.
+            far = own[int(distance.argmax())]
             other = own[int(((own - far) ** 2).sum(axis=1).argmax())]
-            middle = (hi - lo) // 2
-            self.order[lo:hi] = self.order[lo:hi][np.argpartition(own @ (other - far), middle)]
+            along = own @ (other - far)
+            near = along < (far + other) @ (other - far) / 2
+            middle = int(near.sum())
+            if not (hi - lo) // 20 <= middle <= hi - lo - (hi - lo) // 20 or middle in (0, hi - lo):
+                middle = (hi - lo) // 2
+                near = np.zeros(hi - lo, bool)
+                near[np.argpartition(along, middle)[:middle]] = True
+            self.order[lo:hi] = np.concatenate([self.order[lo:hi][near], self.order[lo:hi][~near]])
             todo += [(lo, lo + middle, node, False), (lo + middle, hi, node, True)]
         self.centre, self.radius = np.array(centres), np.array(radii)
         self.points = points[self.order]
@@ -98,7 +105,7 @@ class Best:
     def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         self.query, self.score, self.id = np.concatenate([self.query, query]), np.concatenate([self.score, score]), np.concatenate([self.id, ids])
         self.grown += len(query)
-        if self.grown > 4096 + 4 * self.n:
+        if self.grown > 2 * self.k * self.n:
             self.cut()
 
     def cut(self) -> None:
