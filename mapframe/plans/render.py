@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import logging
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapframe.functions.style import callout_name
 from mapframe.functions.tags import render_filter
 from mapframe.operators.cache import backdrop_key, cached
-from mapframe.operators.display import backdrop, differences, display_list
+from mapframe.operators import raster
+from mapframe.operators.display import COLUMNS, backdrop, differences, display_list
 from mapframe.operators.ways import ways_in_rect
 from mapframe.schema import Box, RunOptions, Viewport
 from mapframe.sources.config import Config, load_config
 from mapframe.sources.files import covering_files
-from mapframe.sources.pbf import read_pbf
+from mapframe.sources.pbf import open_path, read_pbf
 
 log = logging.getLogger("mapframe")
 
@@ -45,7 +47,7 @@ def _no_ways(spark: SparkSession) -> DataFrame:
 
 
 def render_city(spark: SparkSession, options: RunOptions, config: Config | None = None) -> dict[str, DataFrame]:
-    """``atlas``: the base picture and what each hover and active picture changes; ``callouts``: small pictures, with the
+    """``pictures``: the base, hover and active pictures; ``atlas``: the base picture and what each hover and active picture changes; ``callouts``: small pictures, with the
     name of the file each belongs to."""
     config = config or load_config(spark, options.config, options.strict)
     view, style = Viewport(config.box, options.size, options.size), options.style
@@ -69,11 +71,30 @@ def render_city(spark: SparkSession, options: RunOptions, config: Config | None
     atlas = large.where(F.col("mode") == "BASE").unionByName(differences(large))
     small = view.callout()
     callouts = display_list(back(small), config.areas, config.landmarks, small, style, ("CALLOUT",))
-    return {"atlas": atlas, "callouts": callouts.withColumn("file", callout_name(options.prefix, F.col("area_idx")))}
+    return {"pictures": large, "atlas": atlas, "callouts": callouts.withColumn("file", callout_name(options.prefix, F.col("area_idx")))}
 
 
 def write_city(spark: SparkSession, options: RunOptions) -> None:
-    """Write both tables as Parquet beside ``prefix``; callouts are partitioned by area."""
+    """Write both tables as Parquet beside ``prefix`` and draw them: ``<prefix>.png``, an atlas of the base picture and of
+    what each other picture changes in it, and a small picture for each area. A city has few pictures of a fixed size."""
     made = render_city(spark, options)
     made["atlas"].write.mode("overwrite").parquet(f"{options.prefix}-atlas.parquet")
     made["callouts"].write.mode("overwrite").partitionBy("area_idx").parquet(f"{options.prefix}-callouts.parquet")
+    full = made["pictures"].select("mode", "area_idx", *COLUMNS[3:], "tile")
+    shots = {(r.mode, r.area_idx): _pixels(r) for r in raster.pictures(full, ["mode", "area_idx"]).toLocalIterator()}
+    base = shots.pop(("BASE", -1))
+    order = sorted(shots, key=lambda k: (k[1], k[0] == "ACTIVE"))
+    images = [base, *(raster.trimmed(raster.changed(shots[k], base)) for k in order)]
+    _save(f"{options.prefix}.png", raster.png(raster.atlas(images)))
+    for r in raster.pictures(made["callouts"].drop("area_idx"), ["file"]).toLocalIterator():
+        _save(r.file, raster.png(_pixels(r)))
+
+
+def _pixels(row) -> np.ndarray:
+    return np.frombuffer(row.rgba, np.uint8).reshape(row.height, row.width, 4)
+
+
+def _save(path: str, data: bytes) -> None:
+    fs, at = open_path(path)
+    with fs.open_output_stream(at) as out:
+        out.write(data)

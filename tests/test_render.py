@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from mapframe import cli
 from mapframe.operators.cache import backdrop_key
 from mapframe.operators.display import differences
+from mapframe.operators.raster import atlas, changed, coverage, draw, load_images, png, read_png, stroke, trimmed
 from mapframe.plans.render import render_city, write_city
 from mapframe.schema import Box, Style, Viewport
 from mapframe.sources.config import load_config
@@ -50,6 +51,8 @@ def test_cache_and_output(spark, city):
     write_city(spark, options(city))
     assert len(list((city / "cache").iterdir())) == 2
     assert spark.read.parquet(f"{city}/out-callouts.parquet").select("area_idx").distinct().count() == 2
+    sheet = {r.path.rsplit("/", 1)[1]: (r.width, r.height) for r in load_images(spark, f"{city}/*.png").collect()}
+    assert sheet["out-00-callout.png"] == sheet["out-01-callout.png"] == (290, 290) and min(sheet["out.png"]) >= 396
     (city / "b.osm.pbf").unlink()
     again = render_city(spark, options(city))["atlas"]
     assert again.where("cmd = 'fill_multi' and mode = 'BASE'").count() == 1  # the backdrop was kept
@@ -113,3 +116,40 @@ def test_cache_key_depends_on_its_parts():
     view, style = Viewport(Box(0, 0, 1, 1)), Style()
     keys = {backdrop_key(view, style), backdrop_key(view.callout(), style), backdrop_key(view, Style(water=1)), backdrop_key(view, Style(water_in_front=False)), backdrop_key(view, style, ["a"]), backdrop_key(view, style, ["b"]), backdrop_key(view, style, ["a"], "r")}
     assert len(keys) == 7
+
+
+def test_coverage_and_strokes():
+    square = [(1, 1), (3, 1), (3, 3), (1, 3)]
+    got = coverage([square], 5, 5)
+    assert got.sum() == pytest.approx(4) and got[1:3, 1:3].min() == 1
+    assert coverage([square, square[::-1]], 5, 5).sum() == 0  # windings cancel
+    assert coverage([[(0.5, 0), (1.5, 0), (1.5, 1), (0.5, 1)]], 3, 2)[0].tolist() == pytest.approx([0.5, 0.5, 0])
+    assert coverage(stroke([(0, 2), (5, 2)], 2), 5, 5).sum() == pytest.approx(10)
+    assert coverage([], 2, 2).sum() == 0 and coverage([[(0, 0), (1, 1)]], 2, 2).sum() == 0
+
+
+def test_drawing_erases_and_masks():
+    p = lambda *xy: [{"x": float(x), "y": float(y)} for x, y in xy]
+    c = lambda z, cmd, color, points, **more: {"z": z << 32, "cmd": cmd, "color": color, "width": None, "op": "over", "text": None, "points": points} | more
+    square = p((0, 0), (20, 0), (20, 20), (0, 20), (0, 0))
+    rows = [c(0, "rect", 0xFFFFFFFF, p((0, 0), (20, 20))), c(2, "fill_masked", 0xFF00FF00, square), c(3, "mask_stroke", None, square, width=3.0), c(4, "fill", 0xFF0000FF, p((5, 5), (15, 5), (15, 15), (5, 15))), c(4, "stroke", 0xFFFFFFFF, p((5, 10), (15, 10)), width=2.0, op="dest_out")]
+    got = draw(rows, 20, 20)
+    assert got[0, 0].tolist() == [255, 255, 255, 255]  # the outline is left out of the mask
+    assert got[3, 3].tolist() == [0, 255, 0, 255] and got[6, 6].tolist() == [0, 0, 255, 255]
+    assert got[10, 10].tolist() == [0, 255, 0, 255]  # the bridge shows what is under the water
+
+
+def test_png_round_trip_and_atlas():
+    import numpy as np
+
+    image = np.random.default_rng(1).integers(0, 256, (7, 5, 4), dtype=np.uint8)
+    assert (read_png(png(image)) == image).all()
+    with pytest.raises(ValueError):
+        read_png(b"no")
+    other = image.copy()
+    other[2, 3] ^= 255
+    only = changed(other, image)
+    assert (only[2, 3] == other[2, 3]).all() and np.count_nonzero(only.any(axis=2)) == 1
+    assert trimmed(np.zeros((4, 4, 4), np.uint8)).shape == (1, 1, 4)
+    sheet = atlas([image, image[:3], image[:2, :2]])
+    assert sum((sheet[y : y + 7, x : x + 5] == image).all() for y in range(sheet.shape[0] - 6) for x in range(sheet.shape[1] - 4)) == 1
