@@ -1,8 +1,11 @@
 import os
 
 import pytest
+from hypothesis import settings
 
 os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
+settings.register_profile("shared machine", deadline=None)
+settings.load_profile("shared machine")
 
 
 @pytest.fixture(scope="session")
