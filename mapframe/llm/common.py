@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
 
 #: Bytes of text that a Python worker holds as one block; a longer single text makes a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
