@@ -20,7 +20,10 @@ _UNSAFE = "(^ )|( $)|( [\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}])|([\\s\\x0b\\x1c-\\x1f
 #: Chunks that are surely one or two pre-tokens of the word-end tokenizer.
 _PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:;=?@\\[-`{-~]*$"
 #: Distinct chunks that a worker remembers; beyond it, it starts again.
-_MOST = 300_000
+_MOST = 600_000
+
+#: Bytes of text encoded together: the known chunks are indexed anew for each block, so a block is worth that.
+BLOCK_BYTES = 4 << 20
 
 _encoders: dict[str, Encoder] = {}
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapframe.llm.common import blocks
-from mapframe.llm.encoding import encoder
+from mapframe.llm.encoding import BLOCK_BYTES, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
 TIERS = (256, 512, 1024, 2048)
@@ -142,7 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[in
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names)
 
-        for block in blocks(batches):
+        for block in blocks(batches, most=BLOCK_BYTES):
             ids, offsets = encoder(tokenizer).encode(block.column("text"))
             found: list[tuple] = []
             for doc_id, a, b in zip(block.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):

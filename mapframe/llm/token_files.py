@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapframe.llm.common import blocks, filesystem, fresh_path
-from mapframe.llm.encoding import encoder, vocabulary_size
+from mapframe.llm.encoding import BLOCK_BYTES, encoder, vocabulary_size
 
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -54,7 +54,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int
         docs_here = ids_here = 0
         open_files = {k: fs.open_output_stream(x[0]) for k, x in names.items()}
         open_files["off"].write(np.zeros(1, "<u8").tobytes())
-        for block in blocks(batches):
+        for block in blocks(batches, most=BLOCK_BYTES):
             ids, offsets = encoder(tokenizer).encode(block.column("text"))
             n = block.num_rows
             out = np.full(len(ids) + n, end_id, dtype)
