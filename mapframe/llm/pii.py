@@ -244,7 +244,7 @@ def fitted(spark: SparkSession, trees: int = TREES, depth: int = DEPTH, n: int =
 
 
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
-_RATED = "array<struct<margin:double,start:bigint,kind:int,end:bigint>>"
+_PROPOSED = "array<struct<kind:int,start:bigint,end:bigint,span:string,before:string,after:string>>"
 
 
 def spans(docs: DataFrame, model: Trees | None = None) -> DataFrame:
@@ -265,16 +265,17 @@ def spans(docs: DataFrame, model: Trees | None = None) -> DataFrame:
     base = [F.when(text.contains("@") if kind == "email" else digit, found_).otherwise(none) for kind, found_ in zip(KINDS, base, strict=True)]
     out = docs.withColumn("base", F.array_sort(F.concat(*base)))
 
-    def rated(kind: int, pattern: str) -> Column:
-        def one(x: Column) -> Column:
-            own = features(F.lit(kind), x.span, x.before, x.after)
-            return let(F.struct(*(own[f].alias(f) for f in FEATURES)), lambda f: F.struct(model.margin(lambda name: f[name]).alias("margin"), x.start.alias("start"), F.lit(kind).alias("kind"), x.end.alias("end")))
+    def proposed(kind: int, pattern: str) -> Column:
+        hits = F.transform(found(text, pattern), lambda x: F.struct(F.lit(kind).alias("kind"), x.start.alias("start"), x.end.alias("end"), x.span.alias("span"), x.before.alias("before"), x.after.alias("after")))
+        return F.when(at if KINDS[kind] == "email" else digit, hits).otherwise(F.array().cast(_PROPOSED))
 
-        chosen = F.filter(F.transform(found(text, pattern), one), lambda r: r.margin >= model.thresholds[kind])
-        return F.when(at if KINDS[kind] == "email" else digit, chosen).otherwise(F.array().cast(_RATED))
+    def rated(x: Column) -> Column:
+        own = features(x.kind, x.span, x.before, x.after)
+        return let(F.struct(*(own[f].alias(f) for f in FEATURES)), lambda f: F.struct(model.margin(lambda name: f[name]).alias("margin"), x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end")))
 
-    proposed = F.concat(*(rated(KINDS.index(kind), pattern) for kind, pattern in GENERATORS))
-    out = out.withColumn("_more", proposed)
+    candidates = F.concat(*(proposed(KINDS.index(kind), pattern) for kind, pattern in GENERATORS))
+    least = F.array(*(F.lit(float(model.thresholds[k])) for k in range(len(KINDS))))
+    out = out.withColumn("_more", F.filter(F.transform(candidates, rated), lambda r: r.margin >= F.element_at(least, r.kind + 1)))
     overlap = lambda a, b: (a.start < b.end) & (b.start < a.end)
     free = F.filter("_more", lambda a: ~F.exists("base", lambda b: overlap(a, b)))
     better = lambda a, b: (b.margin > a.margin) | ((b.margin == a.margin) & (F.struct(b.start, b.kind, b.end) < F.struct(a.start, a.kind, a.end)))
