@@ -19,7 +19,7 @@ from mapframe.llm.common import offsets_of, ranges, text_of
 _UNSAFE = "(^ )|( $)|( [\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}])|([\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}] )"
 #: Chunks that are surely one or two pre-tokens of the word-end tokenizer.
 _PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:;=?@\\[-`{-~]*$"
-#: Distinct chunks that a worker remembers; beyond it, it starts again.
+#: Distinct chunks that a worker remembers; beyond it, it forgets those it has hardly used.
 _MOST = 600_000
 
 #: Bytes of text encoded together: the known chunks are indexed anew for each block, so a block is worth that.
@@ -63,6 +63,16 @@ class Encoder:
         self.filled = 0
         self.at = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
+        self.uses = np.zeros(1 << 14, np.int32)
+
+    def _thin(self) -> None:
+        """Forget the chunks that only one block had, and if that is not half of all, the less used ones too."""
+        uses = self.uses[: len(self.known)]
+        keep = np.flatnonzero(uses > max(1, int(np.median(uses))))[: _MOST // 2] if len(uses) else np.zeros(0, np.int64)
+        known, pool, at, length = self.known, self.pool, self.at[keep], self.length[keep]
+        self._forget()
+        if len(keep):
+            self._keep(known.take(pa.array(keep)), pool[ranges(at, length)], length)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,6 +84,7 @@ class Encoder:
         if first + n > len(self.at):
             grow = np.zeros(max(len(self.at), n), np.int64)
             self.at, self.length = np.concatenate([self.at, grow]), np.concatenate([self.length, grow])
+            self.uses = np.concatenate([self.uses, grow.astype(np.int32)])
         self.pool[self.filled : self.filled + len(ids)] = ids
         ends = np.cumsum(lengths)
         self.at[first : first + n] = self.filled + ends - lengths
@@ -135,7 +146,7 @@ class Encoder:
         coded = flat.dictionary_encode()
         codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
         if len(self.known) + len(distinct) > _MOST:
-            self._forget()
+            self._thin()
         if self.byte_level:  # the first chunk of a text has no space before it, the others do; an empty text has no ids
             firsts = np.zeros(len(flat), bool)
             firsts[bounds[:-1]] = True
@@ -154,7 +165,9 @@ class Encoder:
         if found.null_count:
             self._learn(chunks.filter(pc.is_null(found)))
             found = pc.index_in(chunks, self.known)
-        return found.to_numpy(zero_copy_only=False)
+        numbers = found.to_numpy(zero_copy_only=False)
+        self.uses[numbers] += 1
+        return numbers
 
 
 def _flat(lists: list[list[int]]) -> np.ndarray:

@@ -26,6 +26,18 @@ def test_chunked_ids_equal_those_of_the_whole_text(path):
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [plain.encode(x or "", add_special_tokens=False).ids for x in ODD]
 
 
+def test_a_small_memory_changes_nothing(monkeypatch):
+    from mapframe.llm import encoding
+
+    monkeypatch.setattr(encoding, "_MOST", 40)
+    one, plain = encoding.Encoder(BYTE), Tokenizer.from_file(BYTE)
+    for k in range(30):
+        texts = [f"common words here w{k} w{k + j} x{k * j}" for j in range(8)]
+        ids, at = one.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(one.known) <= 80 and len(set(one.known.to_pylist())) == len(one.known)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=" \n\tabAéß'.,1<|>́İ日", max_size=40), max_size=5), st.sampled_from([BYTE, WORD]))
 def test_chunked_ids_of_any_text(texts, path):
