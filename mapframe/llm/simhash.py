@@ -39,8 +39,8 @@ PIVOTS = xxh64(np.arange(16, dtype="<u8").view(np.uint8), np.arange(16) * 8, np.
 _SPREAD = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(256, 8, 1).repeat(8, 2) * np.array([1, 0, 0, 0, 0, 0, 0, 0], np.uint8), axis=2, bitorder="little").reshape(256, 8).copy().view("<u8")[:, 0]
 
 
-def fingerprints_of(texts: pa.Array, shingle: int = WORDS) -> np.ndarray:
-    """The 64-bit fingerprint of each text, as uint64."""
+def shingle_hashes(texts: pa.Array, shingle: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes of the shingles of all texts, how many each text has)``."""
     flat, bounds = words(text_of(texts), WHITE)
     n_words = np.diff(bounds)
     offsets = np.frombuffer(flat.buffers()[1], np.int32)[: len(flat) + 1].astype(np.int64) if len(flat) else np.zeros(1, np.int64)
@@ -51,7 +51,12 @@ def fingerprints_of(texts: pa.Array, shingle: int = WORDS) -> np.ndarray:
     many = np.where(n_words >= shingle, n_words - shingle + 1, np.minimum(n_words, 1))
     first = ranges(bounds[:-1], many)
     last = first + np.repeat(np.minimum(n_words, shingle), many)
-    hashes = xxh64(data, at[first], at[last] - 1 - at[first], SEED)
+    return xxh64(data, at[first], at[last] - 1 - at[first], SEED), many
+
+
+def fingerprints_of(texts: pa.Array, shingle: int = WORDS) -> np.ndarray:
+    """The 64-bit fingerprint of each text, as uint64."""
+    hashes, many = shingle_hashes(texts, shingle)
     out = np.zeros(len(texts), np.uint64)
     rows = np.flatnonzero(many)
     if len(rows):
@@ -193,8 +198,13 @@ def near_duplicates(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS,
 
 def one_of_each(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (a null id last), of those that of the smallest
-    hash of its text, and of rows equal in both any one. Only the keys of what goes are joined to the texts."""
-    rows, rooted = linked(docs, shingle, radius, group)
+    hash of its text, and of rows equal in both any one."""
+    return first_of_each(docs, *linked(docs, shingle, radius, group))
+
+
+def first_of_each(docs: DataFrame, rows: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`one_of_each` keeps, by ``rows(doc_id, t, fp)`` and ``rooted(fp, root)``. Only the
+    keys of what goes are joined to the texts."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")
     keyed = rows.join(rooted.select("fp", "root"), "fp").select("root", order.alias("o"))
     first = keyed.groupBy("root").agg(F.min("o").alias("first"))
