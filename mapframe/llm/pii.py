@@ -249,8 +249,8 @@ _PROPOSED = "array<struct<kind:int,start:bigint,end:bigint,span:string,before:st
 
 def spans(docs: DataFrame, model: Trees | None = None) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of ``(start, kind, end)`` by start and kind, the latter with what the
-    trees add. An added span overlaps no base span, and of added spans that overlap the one with the largest margin stays
-    (then the first); one that loses to a span that itself loses is left out too."""
+    trees add. An added span overlaps no base span; added spans are taken by falling margin (then the first), each unless
+    it overlaps one that was taken before it."""
     model = model or fitted(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast(_SPAN)
@@ -269,18 +269,37 @@ def spans(docs: DataFrame, model: Trees | None = None) -> DataFrame:
         hits = F.transform(found(text, pattern), lambda x: F.struct(F.lit(kind).alias("kind"), x.start.alias("start"), x.end.alias("end"), x.span.alias("span"), x.before.alias("before"), x.after.alias("after")))
         return F.when(at if KINDS[kind] == "email" else digit, hits).otherwise(F.array().cast(_PROPOSED))
 
+    def within(x: Column) -> Column:
+        """The candidate, and every shorter run of it between blanks or slashes with a card's or a phone number's digits."""
+        groups = let(found(x.span, r"[(+]*+[0-9](?:[().+_-]*[0-9])*+\)?"), lambda g: F.transform(g, lambda y: F.struct(y.start.alias("start"), y.end.alias("end"), F.length(_digits(y.span)).alias("digits"))))
+
+        def runs(g: Column) -> Column:
+            each = lambda i: F.transform(F.sequence(i, F.size(g) - 1), lambda j: F.struct(F.element_at(g, i + 1).start.alias("a"), F.element_at(g, j + 1).end.alias("b"), F.aggregate(F.slice(g, i + 1, j - i + 1), F.lit(0), lambda acc, y: acc + y.digits).alias("digits")))
+            many = F.flatten(F.transform(F.sequence(F.lit(0), F.size(g) - 1), each))
+            least, most = F.when(x.kind == 2, 13).otherwise(7), F.when(x.kind == 2, 19).otherwise(15)
+            return F.filter(many, lambda r: r.digits.between(least, most) & (r.b - r.a < F.length(x.span)))
+
+        def part(r: Column) -> Column:
+            text_of = lambda a, n: F.substring(x.span, (a + 1).cast("int"), n.cast("int"))
+            return F.struct(x.kind.alias("kind"), (x.start + r.a).alias("start"), (x.start + r.b).alias("end"), text_of(r.a, r.b - r.a).alias("span"), F.right(F.concat(x.before, text_of(F.lit(0), r.a)), F.lit(CONTEXT)).alias("before"), F.left(F.concat(text_of(r.b, F.length(x.span)), x.after), F.lit(CONTEXT)).alias("after"))
+
+        one = F.array(x)
+        return F.when((x.kind >= 2) & x.span.rlike("[\\x20/]"), F.concat(one, let(groups, lambda g: F.transform(runs(g), part)))).otherwise(one)
+
     def rated(x: Column) -> Column:
         own = features(x.kind, x.span, x.before, x.after)
         return let(F.struct(*(own[f].alias(f) for f in FEATURES)), lambda f: F.struct(model.margin(lambda name: f[name]).alias("margin"), x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end")))
 
-    candidates = F.concat(*(proposed(KINDS.index(kind), pattern) for kind, pattern in GENERATORS))
+    candidates = F.flatten(F.transform(F.concat(*(proposed(KINDS.index(kind), pattern) for kind, pattern in GENERATORS)), within))
     least = F.array(*(F.lit(float(model.thresholds[k])) for k in range(len(KINDS))))
     out = out.withColumn("_more", F.filter(F.transform(candidates, rated), lambda r: r.margin >= F.element_at(least, r.kind + 1)))
     overlap = lambda a, b: (a.start < b.end) & (b.start < a.end)
     free = F.filter("_more", lambda a: ~F.exists("base", lambda b: overlap(a, b)))
-    better = lambda a, b: (b.margin > a.margin) | ((b.margin == a.margin) & (F.struct(b.start, b.kind, b.end) < F.struct(a.start, a.kind, a.end)))
-    best = lambda many: F.filter(F.array_distinct(many), lambda a: ~F.exists(many, lambda b: overlap(a, b) & better(a, b)))
-    added = F.transform(let(free, best), lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end")))
+    order = lambda a: F.struct((-a.margin).alias("m"), a.start.alias("start"), a.kind.alias("kind"), a.end.alias("end"))
+    ranked = lambda many: F.array_sort(F.array_distinct(F.transform(many, order)))
+    taken = lambda acc, a: F.when(F.exists(acc, lambda b: overlap(a, b)), acc).otherwise(F.concat(acc, F.array(F.struct(a.start.alias("start"), a.kind.alias("kind"), a.end.alias("end")))))
+    best = lambda many: F.aggregate(ranked(many), none, taken)
+    added = let(free, best)
     return out.withColumn("spans", F.when(F.size("_more") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", added)))).drop("_more")
 
 

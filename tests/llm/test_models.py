@@ -151,3 +151,9 @@ def test_pii_is_native_and_redacts(spark):
     plan = pii.redacted(frame)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert [r.text for r in pii.redacted(frame).orderBy("doc_id").collect()] == ["🙂 [EMAIL] é [PHONE]!", "none"]
+
+
+def test_pii_finds_numbers_beside_others(spark):
+    cases = {"visa 4111 1111 1111 1111 12/26": "4111 1111 1111 1111", "card 4111.1111.1111.1111 12/26": "4111.1111.1111.1111"}
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert {r.text: [r.text[x[0] : x[2]] for x in r.spans] for r in pii.spans(frame).collect()} == {t: [s] for t, s in cases.items()}
