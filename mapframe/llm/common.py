@@ -15,7 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import broadcast
 
 #: Bytes of text that a Python worker holds as one block; a longer single text makes a block of its own.
@@ -68,13 +70,16 @@ def _remove_all() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends here and survives lost executors."""
+def written(df: DataFrame, name: str, among: list[DataFrame] | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back: lineage ends here and survives lost executors. The table is
+    added to ``among``, if given, a list of those that :func:`drop_all` removes."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._mapframe_path = path
+    if among is not None:
+        among.append(out)
     return out
 
 
@@ -83,13 +88,63 @@ def drop_written(df: DataFrame) -> None:
     remove(df.sparkSession, df._mapframe_path)
 
 
-#: Rows of a side of a join that may be broadcast; a row has a few numbers, or one short list.
-MOST_BROADCAST = 500_000
+def drop_all(tables: list[DataFrame]) -> None:
+    for table in tables:
+        drop_written(table)
+    tables.clear()
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if it was counted to be small; otherwise the join shuffles both sides."""
-    return broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+#: Bytes of a side of a join that may be broadcast.
+MOST_BROADCAST = 32 << 20
+#: Rows of one key from which on its rows are dealt to several tasks; of a larger table, this share of its rows.
+LEAST_SPREAD, SPREAD = 512, 1 << 16
+
+
+def _width(value: Column, kind: T.DataType) -> Column:
+    """The bytes of a value, about as a broadcast holds it."""
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StructType, T.StringType, T.BinaryType, T.ArrayType)):
+            return F.coalesce(F.aggregate(value, F.lit(24).cast("long"), lambda total, x: total + _width(x, kind.elementType)), F.lit(24))
+        return F.coalesce(F.size(value), F.lit(0)).cast("long") * 8 + 24
+    return F.lit(8).cast("long")
+
+
+def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, to be broadcast if its bytes were summed and are at most ``most``; otherwise the join shuffles both sides."""
+    each = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+    return broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= most else df
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, total: int, by: list[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, on, how)`` where one key may hold a large share of ``left``.
+
+    ``counts(*on, n)`` says how many of the ``total`` rows of ``left`` a key has. The rows of a key with more than ``each``,
+    a 65,536th of all but not less than 512, are dealt by a hash of their columns ``by``, and the key's rows of ``right`` are
+    repeated for each share. At most ``total / each`` keys, so 65,536, have more than ``each`` rows: that bounds what is
+    broadcast, three numbers a key.
+    """
+    each = max(LEAST_SPREAD, total // SPREAD)
+    parts, salt = spare([*left.columns, *right.columns], "_parts", "_salt")
+    hot = broadcast(counts.where(F.col("n") > each).select(*on, F.ceil(F.col("n") / each).cast("int").alias(parts)))
+    share = F.coalesce(F.pmod(F.xxhash64(*by, F.lit(7)), F.col(parts)).cast("int"), F.lit(0))
+    dealt = left.join(hot, on, "left").withColumn(salt, share).drop(parts)
+    repeated = right.join(hot, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    return dealt.join(repeated, [*on, salt], how).drop(salt)
+
+
+def spare(taken: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that clash with none of ``taken``, whatever their case."""
+    known, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name = "_" + name
+        known.add(name.lower())
+        out.append(name)
+    return out
 
 
 def filesystem(uri: str):

@@ -1,29 +1,35 @@
 """Line deduplication within one edit, by a deletion-neighbourhood join.
 
-A line is a sequence of words; edits insert, delete or replace one word. Of lines at most ``edits`` (0 or 1) apart the
-earliest, by doc_id and then by place, is kept. Lines of fewer than ``least`` words are too common to say anything and
-always stay; white space around and between words does not count.
+A line is a sequence of words; an edit inserts, deletes or replaces one word, and the bound is ``edits``, 0 or 1. Of equal
+lines of any positive number of words, and of lines of at least ``near`` words that are at most ``edits`` apart, the
+earliest, by doc_id and then by place, is kept. In a shorter line one word is more than a fifth: any two lines of one word
+would be one edit apart. Lines without words always stay; white space around and between words does not count.
 
-Two lines one edit apart are equal after deleting at most one word from each. So every line emits hashed keys of all its
-variants with one word deleted and of itself, and equal keys are joined:
+Equal lines are joined first, by 128 bits of SHA-256 over their words, so that a line that stands in a third of all
+documents is one node. Two lines one edit apart are equal after deleting at most one word from each. So every line emits
+hashed keys of itself and of all its variants with one word deleted, and equal keys are joined:
 
 * one word replaced: both emit the same rest with the same place deleted. All lines of such a key are one edit apart
   from each other, so the earliest of them stands for the whole key and no pairs are listed;
 * one word inserted: a variant of the longer line equals the shorter line, which each key has once.
 
-Every joined pair is then verified on its words. Variants are worth emitting only for lines that can have a partner: one
-edit leaves the first or the last half of a pair unchanged (halves of a length that both know: that of the longer
-line), so lines none of whose halves occurs in another line are left out first, by counting four hashed halves a line.
+Every joined pair is then verified on its words. Lines that fail, because the keys of different rests were equal, are
+joined again among themselves until none fails, so that no link depends on the hash. Variants are worth emitting only for
+lines that can have a partner: one edit leaves the first or the last half of a pair unchanged (halves of a length that
+both know: that of the longer line), so lines none of whose halves occurs in another line are left out first, by counting
+four hashed halves a line. A line is dropped if an equal or verified line stands earlier, whether or not that one is
+dropped itself.
 
-Equal lines are joined first, by 128 bits of hash, so that a line that stands in a third of all documents is one node.
-A line is dropped if an equal or verified line stands earlier, whether or not that one is dropped itself.
+Keys are counted before they are joined, and the rows of a key with many are dealt to several tasks.
 
 Defined results: a null text stays null and has no lines; an empty text has one empty line; rows equal in id and text
-are the same place and treated alike; a null id is the earliest; an empty table gives no row; other columns pass through.
+are the same place and treated alike; a null id is the earliest; an empty table gives no row; other columns pass through,
+but for columns named ``n_lines`` or ``dropped``, which are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapframe.llm.common import WHITE, blocks, bounded, bytes_of, drop_written, offsets_of, ranges, text_of, word_spans, written
+from mapframe.llm.common import WHITE, blocks, bounded, bytes_of, drop_all, offsets_of, ranges, spare, spread_join, text_of, word_spans, written
 from mapframe.llm.hashing import xxh64
 
-LEAST_WORDS = 5
+#: Words of a line from which on it is compared within one edit.
+NEAR_WORDS = 5
 EDITS = 1
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -43,10 +50,11 @@ _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 class Lines:
     """The lines of a block of texts that have at least ``least`` words, with hashes of any range of their words.
 
-    The hash of words ``a..b`` is ``sum(h(word_i) * B**(i - a))`` modulo 2**64, from prefix sums over the block.
+    The hash of words ``a..b`` is ``sum(h(word_i) * B**(i - a))`` modulo 2**64, from prefix sums over the block. Different
+    words may have equal ones; only :meth:`digests` identify a line.
     """
 
-    def __init__(self, texts: pa.Array, least: int):
+    def __init__(self, texts: pa.Array, least: int = 1):
         texts = text_of(texts)
         data, bounds = bytes_of(texts), offsets_of(texts)
         separator = np.zeros(256, bool)
@@ -62,21 +70,30 @@ class Lines:
         self.first, self.last = first[long], last[long]
         self.text, self.line = text[self.first], line[self.first]
         n = len(start)
-        self.sums, self.inverse = [], []
         offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
-        flat = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(data[~separator[data]])).dictionary_encode()
-        distinct, codes = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False)
+        self.words = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(data[~separator[data]]))
+        coded = self.words.dictionary_encode()
+        distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         at = offsets_of(distinct) if len(distinct) else np.zeros(1, np.int64)
         with np.errstate(over="ignore"):
-            for seed, base in enumerate(_BASES):
-                hashes = xxh64(bytes_of(distinct), at[:-1], np.diff(at), seed)[codes] if n else np.zeros(0, np.uint64)
-                powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base)]))
-                self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers[:-1], dtype=np.uint64)]))
-                self.inverse.append(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + 1, np.uint64(pow(int(base), -1, 1 << 64)))])))
-
-    def hash(self, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+            hashes = xxh64(bytes_of(distinct), at[:-1], np.diff(at), 0)[codes] if n else np.zeros(0, np.uint64)
+            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASES[0])]))
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers[:-1], dtype=np.uint64)])
+            self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + 1, np.uint64(pow(int(_BASES[0]), -1, 1 << 64)))]))
+
+    def digests(self) -> np.ndarray:
+        """Two longs a line: 128 bits of SHA-256 of its words, each followed by a space."""
+        offsets = offsets_of(self.words) if len(self.words) else np.zeros(1, np.int64)
+        at = offsets + np.arange(len(offsets))
+        spaced = np.full(int(at[-1]), 32, np.uint8)
+        spaced[ranges(at[:-1], np.diff(offsets))] = bytes_of(self.words)
+        raw = memoryview(spaced).cast("B")
+        joined = b"".join([hashlib.sha256(raw[a:b]).digest()[:16] for a, b in zip(at[self.first].tolist(), at[self.last].tolist(), strict=True)])
+        return np.frombuffer(joined, "<i8").reshape(-1, 2)
+
+    def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (self.sums[which][b] - self.sums[which][a]) * self.inverse[which][a]
+            return (self.sums[b] - self.sums[a]) * self.inverse[a]
 
     def halves(self) -> list[np.ndarray]:
         """Four keys a line: its first and last half, as one of a pair whose longer line has n or n + 1 words."""
@@ -94,7 +111,7 @@ class Lines:
         place = ranges(np.full(len(n), -1), n + 1)
         a, p, b = self.first[row], self.first[row] + place, self.last[row]
         with np.errstate(over="ignore"):
-            deleted = self.hash(a, np.maximum(p, a)) + (self.sums[0][b] - self.sums[0][np.maximum(p + 1, a)]) * self.inverse[0][a] * self.inverse[0][1]
+            deleted = self.hash(a, np.maximum(p, a)) + (self.sums[b] - self.sums[np.maximum(p + 1, a)]) * self.inverse[a] * self.inverse[1]
         return row, place, _mixed(np.where(place < 0, self.hash(a, b), deleted), np.where(place < 0, n[row], n[row] - 1))
 
 
@@ -104,26 +121,27 @@ def _mixed(x: np.ndarray, salt: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _occurrences(keyed: DataFrame, least: int) -> DataFrame:
+def _occurrences(keyed: DataFrame, near: int) -> DataFrame:
+    """``h1, h2, d, t, line`` of each line with words, and the keys of its halves, null for lines of fewer than ``near``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, most=2 << 20):
-            lines = Lines(block.column("text"), least)
-            ids = [lines.hash(lines.first, lines.last, k) for k in (0, 1)]
-            row = pa.array(lines.text)
+            lines = Lines(block.column("text"))
+            digests, row, short = lines.digests(), pa.array(lines.text), lines.last - lines.first < near
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x.view(np.int64)) for x in ids), block.column("d").take(row), block.column("t").take(row), pa.array(lines.line), *(pa.array(x.view(np.int64)) for x in lines.halves())],
+                [*(pa.array(np.ascontiguousarray(digests[:, k])) for k in (0, 1)), block.column("d").take(row), block.column("t").take(row), pa.array(lines.line), *(pa.array(x.view(np.int64), mask=short) for x in lines.halves())],
                 ["h1", "h2", "d", "t", "line", "k1", "k2", "k3", "k4"],
             )
 
     return keyed.mapInArrow(run, "h1 long, h2 long, d long, t long, line long, k1 long, k2 long, k3 long, k4 long")
 
 
-def _variants(texts: DataFrame, least: int) -> DataFrame:
+def _variants(texts: DataFrame) -> DataFrame:
     """``d, t, line, place, key`` of the variants of each line of ``texts(d, t, line, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, most=1 << 20):
-            lines = Lines(block.column("text"), least)
+            lines = Lines(block.column("text"))
             row, place, key = lines.variants()
             own = pa.array(lines.text[row])
             yield pa.RecordBatch.from_arrays([*(block.column(c).take(own) for c in ("d", "t", "line")), pa.array(place), pa.array(key.view(np.int64))], ["d", "t", "line", "place", "key"])
@@ -131,63 +149,86 @@ def _variants(texts: DataFrame, least: int) -> DataFrame:
     return texts.mapInArrow(run, "d long, t long, line long, place long, key long")
 
 
-def _near(keyed: DataFrame, distinct: DataFrame, least: int) -> DataFrame:
+def _earliest(deleted: DataFrame, scratch: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, best)``: the earliest ``e`` of each key and place with each other line ``o`` of it; ``key, place, e, n``."""
+    best = written(deleted.groupBy("key", "place").agg(F.min("o").alias("e"), F.count("*").alias("n")).where("n > 1"), "line-keys", scratch)
+    total = best.agg(F.sum("n")).first()[0] or 0
+    joined = spread_join(deleted, best.drop("n"), ["key", "place"], best.select("key", "place", "n"), total, ["o"])
+    return joined.where("e < o").select("o", "e", F.col("place").alias("po"), F.col("place").alias("pe"), "key", "place"), best
+
+
+def _near(keyed: DataFrame, distinct: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """``d, t, line`` of the distinct lines that have a verified partner standing earlier."""
-    halves = distinct.select("first", F.explode(F.array("k1", "k2", "k3", "k4")).alias("k"))
-    shared = written(halves.groupBy("k").count().where("count > 1").select("k"), "line-halves")
-    able = written(halves.join(bounded(shared), "k", "left_semi").select("first.*").distinct(), "line-partners")
+    halves = distinct.where("k1 is not null").select("first", F.explode(F.array("k1", "k2", "k3", "k4")).alias("k"))
+    shared = written(halves.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "line-halves", scratch)
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    able = written(spread_join(halves, shared.select("k"), ["k"], shared, total, ["first"], "left_semi").select("first.*").distinct(), "line-partners", scratch)
     split = keyed.where("text is not null").select("d", "t", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     place = ["d", "t", "line"]
     texts = split.withColumn("line", F.col("line").cast("long")).join(bounded(able), place, "left_semi").dropDuplicates(place)
-    texts = written(texts, "line-texts")
-    variants = written(_variants(texts, least), "line-variants")
+    texts = written(texts, "line-texts", scratch)
+    variants = written(_variants(texts), "line-variants", scratch)
     own = F.struct(*place)
     deleted = variants.where("place >= 0").select("key", "place", own.alias("o"))
     whole = variants.where("place < 0").select("key", own.alias("s"))
     # One word replaced: the earliest of a key and place stands for all of them.
-    best = deleted.groupBy("key", "place").agg(F.min("o").alias("e"), F.count("*").alias("n")).where("n > 1").drop("n")
-    replaced = deleted.join(best, ["key", "place"]).where("e < o").select("o", "e", F.col("place").alias("po"), F.col("place").alias("pe"))
+    pairs, best = _earliest(deleted, scratch)
     # One word inserted: the later of the longer and the shorter line has the other as its partner.
-    inserted = deleted.join(whole, "key").where("o <> s")
-    inserted = inserted.select(F.greatest("o", "s").alias("o"), F.least("o", "s").alias("e"), F.when(F.col("o") > F.col("s"), F.col("place")).alias("po"), F.when(F.col("o") < F.col("s"), F.col("place")).alias("pe"))
-    pairs = replaced.unionByName(inserted)
+    often = best.groupBy("key").agg(F.sum("n").alias("n"))
+    inserted = spread_join(deleted, whole, ["key"], often, best.agg(F.sum("n")).first()[0] or 0, ["o"]).where("o <> s")
+    none = lambda t: F.lit(None).cast(t)
+    inserted = inserted.select(F.greatest("o", "s").alias("o"), F.least("o", "s").alias("e"), F.when(F.col("o") > F.col("s"), F.col("place")).alias("po"), F.when(F.col("o") < F.col("s"), F.col("place")).alias("pe"), none("long").alias("key"), none("long").alias("place"))
+    pairs = pairs.unionByName(inserted)
     listed = texts.select(own.alias("o"), F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "").alias("w"))
     rest = lambda w, p: F.when(p.isNull(), w).otherwise(F.filter(w, lambda _, i: i != p))
-    sides = pairs.join(listed, "o").withColumnRenamed("w", "wo").join(listed.select(F.col("o").alias("e"), F.col("w").alias("we")), "e")
-    return sides.where(rest(F.col("wo"), F.col("po")) == rest(F.col("we"), F.col("pe"))).select("o.*").distinct()
-
-
-def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, edits: int = EDITS) -> DataFrame:
+    found = None
+    while True:
+        pairs = written(pairs, "line-pairs", scratch)
+        sides = pairs.join(listed, "o").withColumnRenamed("w", "wo")
+        sides = spread_join(sides, listed.select(F.col("o").alias("e"), F.col("w").alias("we")), ["e"], pairs.groupBy("e").agg(F.count("*").alias("n")), pairs.count(), ["o"])
+        same = rest(F.col("wo"), F.col("po")) == rest(F.col("we"), F.col("pe"))
+        checked = written(sides.select("o", "key", "place", same.alias("same")), "line-checked", scratch)
+        right = checked.where("same").select("o.*")
+        found = right if found is None else found.unionByName(right)
+        failed = checked.where("not same and key is not null").select("key", "place", "o")
+        if failed.isEmpty():
+            return found.distinct()
+        pairs, _ = _earliest(failed, scratch)
+
+
+def dedup_lines(docs: DataFrame, near: int = NEAR_WORDS, edits: int = EDITS) -> DataFrame:
     """``docs`` with the text that remains, and with ``n_lines`` and ``dropped`` (numbers of the dropped lines, from 0)."""
     if edits not in (0, 1):
         raise ValueError("edits is 0 or 1: the variants of a line grow as its length to the power of the bound")
-    keys = {"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_t": F.xxhash64("text")}
-    docs = docs.withColumns(keys)
-    keyed = docs.select(F.col("_d").alias("d"), F.col("_t").alias("t"), "text")
-    seen = written(_occurrences(keyed, least), "lines")
+    scratch: list[DataFrame] = []
+    own_d, own_t, own_lines, own_dropped = spare(docs.columns, "_d", "_t", "_lines", "_dropped")
+    docs = docs.withColumns({own_d: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), own_t: F.xxhash64("text")})
+    keyed = docs.select(F.col(own_d).alias("d"), F.col(own_t).alias("t"), "text")
+    seen = written(_occurrences(keyed, near), "lines", scratch)
     first = F.min(F.struct("d", "t", "line")).alias("first")
-    distinct = written(seen.groupBy("h1", "h2").agg(first, F.count("*").alias("n"), *(F.min(k).alias(k) for k in ("k1", "k2", "k3", "k4"))), "distinct-lines")
-    later = seen.join(distinct.where("n > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(F.struct("d", "t", "line") != F.col("first")).select("d", "t", "line")
-    gone = later.unionByName(_near(keyed, distinct, least)) if edits else later
+    distinct = written(seen.groupBy("h1", "h2").agg(first, F.count("*").alias("n"), *(F.min(k).alias(k) for k in ("k1", "k2", "k3", "k4"))), "distinct-lines", scratch)
+    often = distinct.where("n > 1").select("h1", "h2", "first", "n")
+    later = spread_join(seen.select("h1", "h2", "d", "t", "line"), often.drop("n"), ["h1", "h2"], often.drop("first"), seen.count(), ["d", "t", "line"])
+    gone = later.where(F.struct("d", "t", "line") != F.col("first")).select("d", "t", "line")
+    gone = gone.unionByName(_near(keyed, distinct, scratch)) if edits else gone
     gone = written(gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("line")).alias("dropped")), "dropped-lines")
-    drop_written(seen)
-    drop_written(distinct)
-    out = docs.join(bounded(gone.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("dropped").alias("_dropped"))), ["_d", "_t"], "left")
-    lines = F.split("text", "\n")
-    dropped = F.coalesce("_dropped", F.array().cast("array<bigint>"))
-    kept = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("_lines").cast("long") - 1), dropped)
-    out = out.withColumn("_lines", lines).withColumns({
-        "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
+    drop_all(scratch)
+    out = docs.join(bounded(gone.toDF(own_d, own_t, own_dropped)), [own_d, own_t], "left")
+    lines = F.col(own_lines)
+    dropped = F.coalesce(own_dropped, F.array().cast("array<bigint>"))
+    kept = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), dropped)
+    out = out.withColumn(own_lines, F.split("text", "\n")).withColumns({
+        "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
         "dropped": dropped,
-        "text": F.when(F.size(dropped) == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at("_lines", (i + 1).cast("int"))), "\n")),
+        "text": F.when(F.size(dropped) == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, (i + 1).cast("int"))), "\n")),
     })
-    return out.drop("_d", "_t", "_dropped", "_lines")
+    return out.drop(own_d, own_t, own_dropped, own_lines)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id``, lines and dropped lines of each document, the numbers of the dropped ones, digest of what remains."""
     done = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return done.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 _TOKENS = "list_filter(regexp_split_to_array({0}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
@@ -196,10 +237,10 @@ WITH l AS (
   SELECT d.doc_id, d.line - 1 AS line, d.ls[d.line] AS raw, {_TOKENS.format("d.ls[d.line]")} AS w
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)) d
 ), u AS (
-  SELECT w, len(w) AS n, min({{'d': doc_id, 'l': line}}) AS o FROM l WHERE len(w) >= {LEAST_WORDS} GROUP BY w
+  SELECT w, len(w) AS n, min({{'d': doc_id, 'l': line}}) AS o FROM l WHERE len(w) > 0 GROUP BY w
 ), k AS (
   SELECT w, n, o, m, side, CASE WHEN side = 0 THEN w[1 : (m - 1) // 2] ELSE w[n - (m - 1 - (m - 1) // 2) + 1 : n] END AS part
-  FROM (SELECT w, n, o, unnest([n, n, n + 1, n + 1]) AS m, unnest([0, 1, 0, 1]) AS side FROM u)
+  FROM (SELECT w, n, o, unnest([n, n, n + 1, n + 1]) AS m, unnest([0, 1, 0, 1]) AS side FROM u WHERE n >= {NEAR_WORDS})
 ), p AS (
   SELECT DISTINCT b.w FROM k a JOIN k b ON a.m = b.m AND a.side = b.side AND a.part = b.part AND a.o < b.o
   WHERE (a.n = b.n AND len(list_filter(range(1, a.n + 1), lambda i: a.w[i] <> b.w[i])) = 1)

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -151,16 +152,41 @@ def test_line_dedup_of_odd_rows(spark, edits):
     rng = random.Random(5)
     lines = [" ".join(rng.choice("ab") for _ in range(rng.choice([4, 5, 6, 7]))) for _ in range(60)]
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 6)))) for i in range(12)]
+    rows += [(30, "Les.\nAll rights reserved."), (31, "All  rights reserved.\nLes"), (32, " Les. ")]
     rows += [(None, "a b a b a\nx"), (20, None), (21, ""), (3, "a  a a\ta a a"), (22, "q w e r t y u i o p\n\nq w e r t y u i o"), (22, "q w e r t y u i o p\n\nq w e r t y u i o"), (23, "é " * 3000 + "\n" + "é " * 2999)]
     frame = spark.createDataFrame([(*r, "d") for r in rows], "doc_id long, text string, d string")
     seeds = {(r.doc_id, r.text): r.t for r in frame.select("*", F.xxhash64("text").alias("t")).collect()}
     place = lambda d, t, n: (-(1 << 63) if d is None else d, seeds[d, t], n)
-    long = {place(d, t, n): line.split() for d, t in set(rows) if t is not None for n, line in enumerate(t.split("\n")) if len(line.split()) >= 5}
+    long = {place(d, t, n): line.split() for d, t in set(rows) if t is not None for n, line in enumerate(t.split("\n")) if line.split()}
     want = []
     for d, t in rows:
         parts = t.split("\n") if t is not None else []
-        gone = [n for n in range(len(parts)) if (me := place(d, t, n)) in long and any(o < me and (w == long[me] or edits and one_edit(w, long[me])) for o, w in long.items())]
+        gone = [n for n in range(len(parts)) if (me := place(d, t, n)) in long and any(o < me and (w == long[me] or edits and len(w) >= 5 and len(long[me]) >= 5 and one_edit(w, long[me])) for o, w in long.items())]
         want.append((d, "\n".join(x for n, x in enumerate(parts) if n not in gone) if gone else t, gone, "d"))
     got = line_dedup.dedup_lines(frame, edits=edits)
     assert sorted(((r.doc_id, r.text, r.dropped, r.d) for r in got.collect()), key=str) == sorted(want, key=str)
     assert line_dedup.dedup_lines(frame.limit(0)).count() == 0
+
+
+def test_lines_whose_hashes_collide_are_told_apart(spark):
+    """Polynomial hashes modulo 2**64 of a Thue-Morse sequence and of its complement are equal, whatever the base."""
+    turn = [bin(k).count("1") % 2 for k in range(1024)]
+    say = lambda bits, a="alpha", b="beta": " ".join((a, b)[x] for x in bits)
+    other = [1 - x for x in turn]
+    texts = [say(turn), say(other), "x " + say(turn), "y " + say(other), "z " + say(turn), "q " + say(other), say(turn)]
+    lines = line_dedup.Lines(pa.array(texts[:2]))
+    assert lines.hash(lines.first, lines.last)[0] == lines.hash(lines.first, lines.last)[1]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.dedup_lines(frame).collect() if r.dropped} == {2, 3, 4, 5, 6}
+    apart = [(0, "x " + say(turn)), (1, "y " + say(other)), (2, "z " + say(other))]
+    frame = spark.createDataFrame(apart, "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.dedup_lines(frame).collect() if r.dropped} == {2}
+
+
+def test_hot_keys_of_lines_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr("mapframe.llm.common.LEAST_SPREAD", 5)
+    rows = [(k, f"page {k} of the same old report\nthe same line everywhere it is") for k in range(200)] + [(500, "page of the same old report")]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _d int, dropped int")
+    got = line_dedup.dedup_lines(frame)
+    assert got.columns == ["doc_id", "text", "_d", "dropped", "n_lines"]
+    assert {r.doc_id: list(r.dropped) for r in got.collect()} == {0: [], **{k: [0, 1] for k in range(1, 200)}, 500: [0]}
