@@ -113,10 +113,15 @@ def _width(value: Column, kind: T.DataType) -> Column:
     return F.lit(8).cast("long")
 
 
-def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """``df``, to be broadcast if its bytes were summed and are at most ``most``; otherwise the join shuffles both sides."""
+def fits(df: DataFrame, most: int = MOST_BROADCAST) -> bool:
+    """Whether the bytes of ``df``, which are summed, are at most ``most``."""
     each = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
-    return broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= most else df
+    return (df.agg(F.sum(each)).first()[0] or 0) <= most
+
+
+def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, to be broadcast if it :func:`fits`; otherwise the join shuffles both sides."""
+    return broadcast(df) if fits(df, most) else df
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, total: int, by: list[str], how: str = "inner") -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapframe.llm.common import WHITE, blocks, bounded, bytes_of, drop_all, offsets_of, ranges, spare, spread_join, text_of, word_spans, written
+from mapframe.llm.common import WHITE, blocks, bounded, bytes_of, drop_all, fits, offsets_of, ranges, spare, spread_join, text_of, word_spans, written
 from mapframe.llm.hashing import xxh64
 
 #: Words of a line from which on it is compared within one edit.
@@ -162,7 +162,9 @@ def _near(keyed: DataFrame, distinct: DataFrame, scratch: list[DataFrame]) -> Da
     halves = distinct.where("k1 is not null").select("first", F.explode(F.array("k1", "k2", "k3", "k4")).alias("k"))
     shared = written(halves.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "line-halves", scratch)
     total = shared.agg(F.sum("n")).first()[0] or 0
-    able = written(spread_join(halves, shared.select("k"), ["k"], shared, total, ["first"], "left_semi").select("first.*").distinct(), "line-partners", scratch)
+    keys = shared.select("k")
+    able = halves.join(F.broadcast(keys), "k", "left_semi") if fits(keys) else spread_join(halves, keys, ["k"], shared, total, ["first"], "left_semi")
+    able = written(able.select("first.*").distinct(), "line-partners", scratch)
     split = keyed.where("text is not null").select("d", "t", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     place = ["d", "t", "line"]
     texts = split.withColumn("line", F.col("line").cast("long")).join(bounded(able), place, "left_semi").dropDuplicates(place)
