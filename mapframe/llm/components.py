@@ -10,16 +10,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapframe.llm.common import drop_written, written
+from mapframe.llm.common import drop_written, spread_join, written
 
 
-def _star(links: DataFrame, both: bool) -> DataFrame:
-    """Large-star (``both``: larger neighbours move to the smallest) or small-star (smaller neighbours and the node do)."""
+def _star(links: DataFrame, both: bool, total: int) -> DataFrame:
+    """Large-star (``both``: larger neighbours move to the smallest) or small-star (smaller neighbours and the node do).
+
+    A hub has a row a neighbour; its rows are dealt to several tasks.
+    """
     forth = links.select("u", "v")
     near = forth.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else forth.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
     moved = near.where("v > u") if both else near
-    out = moved.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = spread_join(moved, least.drop("n"), ["u"], least.select("u", "n"), total, ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not both:
         out = out.unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
@@ -28,15 +31,16 @@ def _star(links: DataFrame, both: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``links(u, v)`` (long) to ``(node, root)``, root being the smallest node reached; only linked nodes have a row."""
     links = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
+    before, total = None, links.count()
     while True:
-        after = written(_star(_star(links, True), False), "links")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        larger = written(_star(links, True, 2 * total), "links")
         drop_written(links)
-        links = after
+        links = written(_star(larger, False, total), "links")
+        drop_written(larger)
+        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
+        before, total = state, state[0]
 
 
 def local_labels(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:

@@ -9,16 +9,17 @@ so each choice of ``m - r`` blocks is a key and no pair is missed. ``m`` grows w
 (:func:`bit_blocks`), which keeps the keys' groups of unrelated fingerprints small at every size.
 
 Equal fingerprints are one node. A key with more than ``group`` fingerprints is split into cells of bounded size; a
-task sends a spanning forest of the links it found, never all pairs of a group.
+task sends a spanning forest of the links it found, never all pairs of a group, and in a large cell it stops comparing
+what is of one component already. The rows of a fingerprint or a component that many have are dealt to several tasks.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and are linked with each other;
 repeated rows and equal ids keep a row each; ``component_id`` ignores null ids and is null where a component has no
-other; an empty table gives no row; columns other than the id and the text are not read.
+other; an empty table gives no row; columns other than the id and the text are not read, and :func:`one_of_each` keeps all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapframe.llm.common import WHITE, blocks, bounded, ranges, text_of, words, written
+from mapframe.llm.common import WHITE, blocks, bounded, drop_written, ranges, spare, spread_join, text_of, words, written
 from mapframe.llm.components import components, local_labels
 from mapframe.llm.hashing import xxh64
 
@@ -152,16 +153,32 @@ def _found(batches: Iterator[pa.RecordBatch], radius: int, rows: int = 1 << 18)
         yield from flush(None)
 
 
-def _spanning(cell: np.ndarray, fp: np.ndarray, radius: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+#: Fingerprints of a cell from which on it is searched by :func:`_one_by_one`.
+LARGE = 512
+
+
+def _spanning(cell: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among fingerprints of equal cells."""
     table = np.stack([np.bitwise_count(fp ^ p) for p in PIVOTS], axis=1).astype(np.int8)
     order = np.lexsort((table[:, 0], cell))
     cell, fp, table = cell[order], fp[order], table[order]
-    number = np.cumsum(np.concatenate([[0], np.diff(cell) != 0])) if len(cell) else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(cell)))
+    nodes, node = np.unique(fp, return_inverse=True)
+    small = np.repeat(sizes < LARGE, sizes)
+    labels = _neighbours(np.repeat(np.arange(len(starts)), sizes)[small], fp[small], table[small], node[small], len(nodes), radius)
+    for a, n in zip(starts[sizes >= LARGE].tolist(), sizes[sizes >= LARGE].tolist(), strict=True):
+        x, y = _one_by_one(fp[a : a + n], table[a : a + n], radius)
+        labels = local_labels(len(nodes), node[a + x], node[a + y], labels)
+    linked = np.flatnonzero(labels != np.arange(len(nodes)))
+    return nodes[linked], nodes[labels[linked]]
+
+
+def _neighbours(number: np.ndarray, fp: np.ndarray, table: np.ndarray, node: np.ndarray, n: int, radius: int, most: int = 1 << 20) -> np.ndarray:
+    """Labels of the ``n`` nodes: the pairs of each cell whose distances to the first pivot are near, all cells at once."""
     place = number * 128 + table[:, 0]  # ascending; a partner stands at most ``radius`` further, in the same cell
     many = np.searchsorted(place, place + radius, "right") - np.arange(len(place)) - 1
-    nodes, node = np.unique(fp, return_inverse=True)
-    labels = np.arange(len(nodes))
+    labels = np.arange(n)
     ends = np.cumsum(many)
     first = 0
     while first < len(place):
@@ -174,26 +191,55 @@ def _spanning(cell: np.ndarray, fp: np.ndarray, radius: int, most: int = 1 << 20
             near = np.abs(table[a, k] - table[b, k]) <= radius
             a, b = a[near], b[near]
         near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-        labels = local_labels(len(nodes), node[a[near]], node[b[near]], labels)
+        labels = local_labels(n, node[a[near]], node[b[near]], labels)
         first = last
-    linked = np.flatnonzero(labels != np.arange(len(nodes)))
-    return nodes[linked], nodes[labels[linked]]
+    return labels
+
+
+def _one_by_one(fp: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect a large cell: one fingerprint is held against those of other components at a time, always one of
+    the smallest component that has one left, until those left are of one component. A group of near copies costs one pass
+    a fingerprint outside it."""
+    labels, left = np.arange(len(fp)), np.ones(len(fp), bool)
+    size = np.ones(len(fp), np.int64)  # fingerprints left, by label
+    x, y = [], []
+    while True:
+        able = np.flatnonzero(size)
+        if len(able) < 2:
+            return np.array(x, np.int64), np.array(y, np.int64)
+        own = int(able[np.argmin(size[able])])
+        i = int(np.flatnonzero(left & (labels == own))[0])
+        left[i], size[own] = False, size[own] - 1
+        lo, hi = np.searchsorted(table[:, 0], [table[i, 0] - radius, table[i, 0] + radius + 1])
+        near = lo + np.flatnonzero(left[lo:hi] & (labels[lo:hi] != own))
+        for k in range(1, table.shape[1]):
+            near = near[np.abs(table[near, k] - table[i, k]) <= radius]
+        near = near[np.bitwise_count(fp[near] ^ fp[i]) <= radius]
+        for other in np.unique(labels[near]).tolist():
+            x.append(i)
+            y.append(int(near[labels[near] == other][0]))
+            labels[labels == other] = own
+            size[own], size[other] = size[own] + size[other], 0
 
 
 def linked(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """The :func:`fingerprints` of ``docs``, written, and ``fp, first, root``: smallest id and component of each."""
+    """The :func:`fingerprints` of ``docs``, written, and ``fp, first, n, root``, written: smallest id, rows and component."""
     rows = written(fingerprints(docs, shingle), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(fps.select("fp"), fps.count(), radius, group))
-    return rows, fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return rows, _rooted(rows, lambda fps: links(fps.select("fp"), fps.count(), radius, group))
+
+
+def _rooted(rows: DataFrame, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    named = components(found(fps)).withColumnRenamed("node", "fp")
+    return written(fps.join(named, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "rooted-fingerprints")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
     """``doc_id, fp, component_id`` for each row of ``docs(doc_id, text)``."""
     rows, rooted = linked(docs, shingle, radius, group)
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = spread_join(rooted.select("fp", "root"), smallest.drop("n"), ["root"], smallest.select("root", "n"), rooted.count(), ["fp"])
+    return spread_join(rows, named.select("fp", "component_id"), ["fp"], rooted.select("fp", "n"), rows.count(), ["doc_id", "t"]).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
@@ -203,16 +249,20 @@ def one_of_each(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS, gro
 
 
 def first_of_each(docs: DataFrame, rows: DataFrame, rooted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`one_of_each` keeps, by ``rows(doc_id, t, fp)`` and ``rooted(fp, root)``. Only the
+    """The rows of ``docs`` that :func:`one_of_each` keeps, by ``rows(doc_id, t, fp)`` and ``rooted(fp, n, root)``. Only the
     keys of what goes are joined to the texts."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")
-    keyed = rows.join(rooted.select("fp", "root"), "fp").select("root", order.alias("o"))
-    first = keyed.groupBy("root").agg(F.min("o").alias("first"))
-    keys = written(keyed.groupBy("root", "o").agg(F.count("*").alias("n")).join(first, "root").select("o.*", (F.col("o") == F.col("first")).alias("stays"), F.col("n").alias("copies")), "near-duplicates")
+    total = rows.count()
+    keyed = spread_join(rows, rooted.select("fp", "root"), ["fp"], rooted.select("fp", "n"), total, ["doc_id", "t"]).select("root", order.alias("o"))
+    keyed = written(keyed.groupBy("root", "o").agg(F.count("*").alias("copies")), "near-members")
+    first = keyed.groupBy("root").agg(F.min("o").alias("first"), F.count("*").alias("n"))
+    keys = spread_join(keyed, first.drop("n"), ["root"], first.select("root", "n"), total, ["o"])
+    keys = written(keys.select("o.*", (F.col("o") == F.col("first")).alias("stays"), "copies"), "near-duplicates")
+    drop_written(keyed)
     null_id, own_t = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")
-    docs = docs.withColumns({"_near_n": F.col("doc_id").isNull(), "_near_d": null_id, "_near_t": own_t})
-    on = ["_near_n", "_near_d", "_near_t"]
-    named = keys.select(F.col("n").alias("_near_n"), F.coalesce("doc_id", F.lit(0)).alias("_near_d"), F.col("t").alias("_near_t"), "stays", "copies")
+    on = spare(docs.columns, "_near_n", "_near_d", "_near_t")
+    docs = docs.withColumns(dict(zip(on, (F.col("doc_id").isNull(), null_id, own_t), strict=True)))
+    named = keys.select(F.col("n").alias(on[0]), F.coalesce("doc_id", F.lit(0)).alias(on[1]), F.col("t").alias(on[2]), "stays", "copies")
     out = docs.join(bounded(named.where("not stays").select(*on)), on, "left_anti")
     repeated = named.where("stays and copies > 1").select(*on)
     if not repeated.isEmpty():

@@ -124,6 +124,35 @@ def test_every_pair_within_the_radius_shares_a_key(spark, n):
     assert frame.where(F.arrays_overlap(simhash.keys(F.col("a"), n, 4), simhash.keys(F.col("b"), n, 4))).count() == 200
 
 
+def test_a_large_cell_is_searched_one_by_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+    fp = np.unique(np.concatenate([base, [base[k % 3] ^ (np.uint64(1) << np.uint64(k % 64)) ^ (np.uint64(1) << np.uint64(k * 7 % 64)) for k in range(200)]]))
+    cell = np.repeat([5, 9], [len(fp), 30]), np.concatenate([fp, base[:30]])
+
+    def parts(found):
+        label = {int(x): int(x) for x in cell[1]}
+        for a, b in zip(*found):
+            assert label[int(a)] != label[int(b)]
+            old, new = sorted((label[int(a)], label[int(b)]), reverse=True)
+            label = {k: new if v == old else v for k, v in label.items()}
+        return label
+
+    monkeypatch.setattr(simhash, "LARGE", 1 << 40)
+    want = parts(simhash._spanning(*cell, 4))
+    monkeypatch.setattr(simhash, "LARGE", 2)
+    assert parts(simhash._spanning(*cell, 4)) == want and len(set(want.values())) < len(fp) - 50
+
+
+def test_hot_roots_and_hubs_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr("mapframe.llm.common.LEAST_SPREAD", 3)
+    edges = [(0, k) for k in range(1, 200)] + [(500, 501)]
+    assert {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()} == {**{k: 0 for k in range(200)}, 500: 500, 501: 500}
+    rows = [(k, "all the same words here " + ("x" if k % 50 == 0 else "")) for k in range(200)] + [(300, "one two three four five")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, f"{r.fp & (1 << 64) - 1:016x}", r.component_id) for r in got.collect()) == clusters(rows)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 201), (201, 202), (202, 200), (300, 300), (-5, -9)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
