@@ -9,7 +9,8 @@ no shuffle, and the trees are one expression of the features. The trees are fitt
 of fixed size that is made by rules (there are no labels of personal data in the corpus), once a process.
 
 Defined results: a null text counts as empty; the text of an empty or clean row gives no spans and the digest of the
-empty string; repeated rows get a row each; an empty table gives no row; other columns pass through.
+empty string; repeated rows get a row each; an empty table gives no row; other columns pass through, but for columns
+named ``base`` or ``spans``, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mapframe.llm.common import spare
+
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. Possessive groups and the look-behinds change no match: what follows a group can't use what it took,
 # and a match that could start within a run of its first class also starts at the run's beginning. They keep the search
@@ -55,16 +58,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _running(sizes: Column, step: int = 512) -> Column:
-    """Running sums of an array of longs. Sums within pieces of ``step``, then of the pieces: no long array is copied
-    once for each of its elements."""
+def _scan(values: Column, op: Callable[[Column, Column], Column], step: int = 512) -> Column:
+    """Running results of an associative ``op`` over an array of longs with an element. First within pieces of ``step``,
+    then over the pieces: no long array is copied once for each of its elements."""
 
-    def within(values: Column) -> Column:
+    def within(many: Column) -> Column:
         none = F.array().cast("array<bigint>")
-        return F.aggregate(values, none, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + x)))
+        return F.aggregate(many, none, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(op(F.try_element_at(acc, F.lit(-1)), x)))))
 
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / step).cast("int")), lambda k: within(F.slice(sizes, k * step + 1, step)))
-    return let(pieces, lambda p: F.when(F.size(p) == 1, F.element_at(p, 1)).otherwise(let(within(F.transform(p, lambda x: F.element_at(x, -1))), lambda ends: F.flatten(F.zip_with(p, ends, lambda x, e: F.transform(x, lambda y: y + e - F.element_at(x, -1)))))))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / step).cast("int")), lambda k: within(F.slice(values, k * step + 1, step)))
+    moved = lambda x, k, ends: F.when(k == 0, x).otherwise(F.transform(x, lambda y: op(F.try_element_at(ends, k), y)))
+    joined = lambda p: let(within(F.transform(p, lambda x: F.element_at(x, -1))), lambda ends: F.flatten(F.transform(p, lambda x, k: moved(x, k, ends))))
+    return let(pieces, lambda p: F.when(F.size(p) == 1, F.element_at(p, 1)).otherwise(joined(p)))
 
 
 _FOUND = "array<struct<start:bigint,end:bigint,span:string,before:string,after:string>>"
@@ -77,7 +82,7 @@ def found(text: Column, pattern: str) -> Column:
     def located(gap: Column, hit: Column) -> Column:
         sizes = F.zip_with(F.slice(gap, 1, F.size(hit)), hit, lambda g, h: (F.length(g) + F.length(h)).cast("long"))
         one = lambda end, i: let(F.element_at(hit, i + 1), lambda h: F.struct((end - F.length(h)).alias("start"), end.alias("end"), h.alias("span"), F.right(F.element_at(gap, i + 1), F.lit(CONTEXT)).alias("before"), F.left(F.element_at(gap, i + 2), F.lit(CONTEXT)).alias("after")))
-        return F.transform(_running(sizes), one)
+        return F.transform(_scan(sizes, lambda a, b: a + b), one)
 
     none = F.array().cast(_FOUND)
     return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), let(gaps, lambda g: let(hits, lambda h: located(g, h)))).otherwise(none)
@@ -224,8 +229,8 @@ def fitted(spark: SparkSession, trees: int = TREES, depth: int = DEPTH, n: int =
     rows = examples(spark, n)
     own = features(F.col("kind"), F.col("span"), F.col("before"), F.col("after"))
     rows = rows.select("kind", "label", (F.pmod(F.xxhash64("id", F.lit("held")), F.lit(3)) == 0).alias("held"), F.struct(*(own[f].alias(f) for f in FEATURES)).alias("f")).coalesce(2).cache()
-    fit = rows.where("not held").select("label", array_to_vector(F.array(*(F.col(f"f.{f}") for f in FEATURES))).alias("features"))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, maxBins=64, seed=3, cacheNodeIds=False).fit(fit.cache())
+    learnt = rows.where("not held").select("label", array_to_vector(F.array(*(F.col(f"f.{f}") for f in FEATURES))).alias("features")).cache()
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, maxBins=64, seed=3, cacheNodeIds=False).fit(learnt)
     found_trees = [_nested(t.toDebugString.splitlines()[1:]) for t in model.trees]
     result = Trees(found_trees, [float(w) for w in model.treeWeights], {})
     rated = rows.where("held").select("kind", "label", F.round(result.margin(lambda f: F.col(f"f.{f}")), 2).alias("margin"))
@@ -239,6 +244,8 @@ def fitted(spark: SparkSession, trees: int = TREES, depth: int = DEPTH, n: int =
             if right >= precision * total:
                 best = r.margin
         result.thresholds[kind] = max(chosen, best) if best is not None else float("inf")
+    learnt.unpersist()
+    rows.unpersist()
     _fitted[at] = result
     return result
 
@@ -292,15 +299,34 @@ def spans(docs: DataFrame, model: Trees | None = None) -> DataFrame:
 
     candidates = F.flatten(F.transform(F.concat(*(proposed(KINDS.index(kind), pattern) for kind, pattern in GENERATORS)), within))
     least = F.array(*(F.lit(float(model.thresholds[k])) for k in range(len(KINDS))))
-    out = out.withColumn("_more", F.filter(F.transform(candidates, rated), lambda r: r.margin >= F.element_at(least, r.kind + 1)))
+    (more,) = spare([*docs.columns, "base", "spans"], "_more")
+    out = out.withColumn(more, F.filter(F.transform(candidates, rated), lambda r: r.margin >= F.element_at(least, r.kind + 1)))
+    return out.withColumn("spans", F.when(F.size(more) == 0, F.col("base")).otherwise(selected(F.col("base"), F.col(more)))).drop(more)
+
+
+def selected(base: Column, more: Column) -> Column:
+    """All of ``base``, and of ``more(margin, start, kind, end)``, by falling margin and then the first, each that overlaps
+    none before it.
+
+    All are sorted by their start once; where none reaches beyond a place, the array is cut, and the pieces are independent
+    of each other. So the work follows the number of spans, and is quadratic in those that hang together alone.
+    """
+    none = F.array().cast(_SPAN)
+    span = lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end"))
+    with_margin = lambda x, m: F.struct(x.start.alias("start"), x.end.alias("end"), x.kind.alias("kind"), m.alias("margin"))
+    merged = F.array_sort(F.concat(F.transform(base, lambda x: with_margin(x, F.lit(float("inf")))), F.transform(more, lambda x: with_margin(x, x.margin.cast("double")))))
+
+    def pieces(m: Column, reach: Column) -> Column:
+        new = lambda i: (i == 0) | (F.element_at(m, i + 1).start >= F.try_element_at(reach, i))
+        first = F.filter(F.sequence(F.lit(0), F.size(m) - 1), new)
+        return let(first, lambda f: F.transform(f, lambda a, k: F.slice(m, a + 1, F.coalesce(F.try_element_at(f, k + 2), F.size(m)) - a)))
+
+    order = lambda x: F.struct((-x.margin).alias("m"), x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end"))
     overlap = lambda a, b: (a.start < b.end) & (b.start < a.end)
-    free = F.filter("_more", lambda a: ~F.exists("base", lambda b: overlap(a, b)))
-    order = lambda a: F.struct((-a.margin).alias("m"), a.start.alias("start"), a.kind.alias("kind"), a.end.alias("end"))
-    ranked = lambda many: F.array_sort(F.array_distinct(F.transform(many, order)))
-    taken = lambda acc, a: F.when(F.exists(acc, lambda b: overlap(a, b)), acc).otherwise(F.concat(acc, F.array(F.struct(a.start.alias("start"), a.kind.alias("kind"), a.end.alias("end")))))
-    best = lambda many: F.aggregate(ranked(many), none, taken)
-    added = let(free, best)
-    return out.withColumn("spans", F.when(F.size("_more") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", added)))).drop("_more")
+    taken = lambda acc, a: F.when((a.m > F.lit(float("-inf"))) & F.exists(acc, lambda b: overlap(a, b)), acc).otherwise(F.concat(acc, F.array(span(a))))
+    best = lambda p: F.when(F.size(p) == 1, F.transform(p, span)).otherwise(F.aggregate(F.array_sort(F.transform(p, order)), none, taken))
+    cut = lambda m: pieces(m, _scan(F.transform(m, lambda x: x.end), F.greatest))
+    return F.when(F.size(base) + F.size(more) == 0, none).otherwise(F.array_sort(F.flatten(F.transform(let(merged, cut), best))))
 
 
 def listed(column: str) -> Column:

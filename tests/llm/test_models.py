@@ -157,3 +157,64 @@ def test_pii_finds_numbers_beside_others(spark):
     cases = {"visa 4111 1111 1111 1111 12/26": "4111 1111 1111 1111", "card 4111.1111.1111.1111 12/26": "4111.1111.1111.1111"}
     frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     assert {r.text: [r.text[x[0] : x[2]] for x in r.spans] for r in pii.spans(frame).collect()} == {t: [s] for t, s in cases.items()}
+
+
+def test_selection_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(60):
+        spread = rng.choice([20, 60, 400])
+        some = lambda n: [(a := rng.randrange(spread), rng.randrange(4), a + rng.randint(1, 9)) for _ in range(n)]
+        rows.append((k, sorted(set(some(rng.randrange(4)))), [(rng.choice([0.5, 1.0, 1.5, 2.0]), *x) for x in some(rng.randrange(0, 40))]))
+    long = [(1.0 + i % 3, 10 * i, 3, 10 * i + 9 + i % 2) for i in range(3000)]
+    rows.append((100, [], long))
+    want = {}
+    for k, base, more in rows:
+        chosen = []
+        for m, a, kind, b in sorted(more, key=lambda x: (-x[0], *x[1:])):
+            if not any(a < d and c < b for c, _, d in base + chosen):
+                chosen.append((a, kind, b))
+        want[k] = sorted(base + chosen)
+    frame = spark.createDataFrame(rows, "k int, base array<struct<start:bigint,kind:int,end:bigint>>, more array<struct<margin:double,start:bigint,kind:int,end:bigint>>")
+    got = frame.select("k", pii.selected(F.col("base"), F.col("more")).alias("s")).collect()
+    assert {r.k: [tuple(x) for x in r.s] for r in got} == want
+
+
+def test_time_follows_the_number_of_spans(spark):
+    import time
+
+    def seconds(n):
+        frame = spark.createDataFrame([(1, " and ".join(f"tel +49 30 {k:07d}" for k in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert pii.spans(frame).select(F.size("spans")).first()[0] == n
+        return time.time() - began
+
+    seconds(500)
+    few, many = min(seconds(4000) for _ in range(2)), min(seconds(32_000) for _ in range(2))
+    assert many < 20 * few  # 64 times, if every span were held against every other
+
+
+#: Spans that no template of the examples makes: (text, what it holds).
+PLANTED = [
+    ("Please phone our office on 0171 234 5678 before noon.", "0171 234 5678"), ("mobile: 07700 900123, ask for the night shift", "07700 900123"),
+    ("You may ring (020) 7946-0958 at any hour", "(020) 7946-0958"), ("fax 030/1234567 stays on", "030/1234567"),
+    ("My cell is 212.555.0187 these days", "212.555.0187"), ("write to mary.ann at mail dot example", "mary.ann at mail dot example"),
+    ("contact j.doe [at] corp [dot] org soon", "j.doe [at] corp [dot] org"), ("reach bob(at)shop(dot)com", "bob(at)shop(dot)com"),
+    ("credit card 5500_0000_0000_0004 was declined", "5500_0000_0000_0004"), ("visa 4012/8888/8888/1881", "4012/8888/8888/1881"),
+    ("server fe80::1ff:fe23:4567:890a answered", "fe80::1ff:fe23:4567:890a"), ("host 10[.]20[.]30[.]40 is down", "10[.]20[.]30[.]40"),
+    ("The year 2024 saw 1 250 000 visitors in 12 towns.", ""), ("See section 4.2.1, pages 100-112, of volume 7.", ""),
+    ("It ran from 08:30 to 17:45 on 12/05/2023.", ""), ("Order 4711-0815-42 ships in 3-5 days.", ""), ("ISBN 0-306-40615-2 is out of print", ""),
+    ("Look at the dot on the map at point seven", ""), ("They met at dawn. Dot waved.", ""), ("scores of 21-19, 18-21 and 21-15", ""),
+    ("about 3.14159 or 2.71828, whichever fits", ""), ("MAC 00:1B:44:11:3A:B7 of the port", ""), ("chapter 10 verse 12 line 144", ""),
+]
+
+
+def test_trees_on_spans_planted_apart_from_the_examples(spark):
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(PLANTED)], "doc_id long, text string")
+    found = {r.doc_id: [r.text[x.start : x.end] for x in r.spans] for r in pii.spans(frame).collect()}
+    right = sum(found[k] == [want] for k, (_, want) in enumerate(PLANTED) if want)
+    false = sum(len(found[k]) for k, (_, want) in enumerate(PLANTED) if not want)
+    print("planted:", right, "of", sum(bool(w) for _, w in PLANTED), "false:", false, found)
+    assert false == 0 and right >= 6
