@@ -80,6 +80,15 @@ def corners_between(start: Column, end: Column, width: float, height: float) ->
     return F.when(steps == 0, F.slice(order, 1, 0)).otherwise(order)
 
 
+def corners_ahead(begin: Column, end: Column, width: float, height: float) -> Column:
+    """The corners passed clockwise from one place along the edge to another; all four if both are the same."""
+    full = 2 * (width + height)
+    ahead = lambda d: F.when(F.pmod(d, num(full)) == 0, num(full)).otherwise(F.pmod(d, num(full)))
+    stops = ((width, 0, width), (width, height, width + height), (0, height, 2 * width + height), (0, 0, 0))
+    far = F.array(*(F.struct(ahead(num(place) - begin).alias("d"), point(num(x), num(y)).alias("p")) for x, y, place in stops))
+    return F.transform(F.filter(F.array_sort(far), lambda s: s["d"] < ahead(end - begin)), lambda s: s["p"])
+
+
 def label_box(cx: Column, cy: Column, w: Column, h: Column, view: Viewport, margin: int = 2) -> Column:
     """A label of size (w, h) centred on a point, moved inside the picture (the far sides win), on whole pixels."""
     x0, y0 = F.greatest(cx - w * 0.5, num(margin)), F.greatest(cy - h * 0.5, num(margin))

@@ -45,23 +45,91 @@ def test_clipped_points_are_inside_and_cut_ends_on_the_edge(spark):
         assert len(got.get(k, [])) == sum(b and not a for a, b in zip([False, *flags], flags))
 
 
-def test_chain_and_close():
-    ring = [(2, 2), (4, 2), (3, 4), (2, 2)]
-    assert coast.rings([ring], 10, 10) == [ring]
-    assert coast.rings([[(2, 2), (4, 2)], [(4, 2), (3, 4), (2, 2)]], 10, 10) == [ring]
-    assert coast.rings([[(0, 5), (5, 5)]], 10, 10) == []  # ends inside
-    assert coast.rings([[(0, 5), (10, 6)]], 10, 10) == [[(0, 5), (10, 6), (10, 10), (0, 10), (0, 5)]]
-    assert coast.rings([[(0, 5), (10, 5)]], 10, 10) == [[(0, 5), (10, 5), (0, 5)]]  # opposite edges, a shared coordinate: no corners
-    assert coast.rings([[(0, 5), (10, 5)]], 10, 10, correct=True) == [[(0, 5), (10, 5), (10, 10), (0, 10), (0, 5)]]
-    assert coast.rings([[(2, 0), (5, 3), (7, 0)]], 10, 10) == [[(2, 0), (5, 3), (7, 0), (2, 0)]]  # around to the same edge: no corners
-    full = coast.rings([[(2, 0), (5, 3), (7, 0)]], 10, 10, correct=True)
-    assert full == [[(2, 0), (5, 3), (7, 0), (10, 0), (10, 10), (0, 10), (0, 0), (2, 0)]]
-    assert coast.rings([[(5, 10), (5, 0)]], 10, 10) == [[(5, 10), (5, 0), (5, 10)]]  # likewise, top to bottom
-    assert coast.rings([[(5, 10), (5, 0)]], 10, 10, correct=True) == [[(5, 10), (5, 0), (10, 0), (10, 10), (5, 10)]]
-    two = coast.rings([[(0, 8), (10, 8)], [(10, 2), (0, 2)]], 10, 10)
+def rings(spark, cases, w=10.0, h=10.0, correct=False):
+    """The rings of each case, a list of paths."""
+    rows = [(c, "f", k, 0, [(float(x), float(y)) for x, y in p]) for c, paths in enumerate(cases) for k, p in enumerate(paths)]
+    parts = spark.createDataFrame(rows, f"c int, path string, way_id long, sub int, points {POINTS}")
+    out = [[] for _ in cases]
+    for r in coast.coast_rings(parts, w, h, ["c"], correct).orderBy("c", "ring").collect():
+        out[r.c].append([(p.x, p.y) for p in r.points])
+    return out
+
+
+RING = [(2, 2), (4, 2), (3, 4), (2, 2)]
+THREE = [[(1, 0), (1, 1), (2, 0)], [(3, 0), (3, 1), (4, 0)], [(5, 0), (5, 1), (6, 0)]]
+#: Paths, the rings they make, and those with every corner if these differ.
+CLOSED = [
+    ([RING], [RING], None),
+    ([[(2, 2), (4, 2)], [(4, 2), (3, 4), (2, 2)]], [RING], None),
+    ([[(0, 5), (5, 5)]], [], None),  # ends inside
+    ([[(0, 5), (10, 6)]], [[(0, 5), (10, 6), (10, 10), (0, 10), (0, 5)]], None),
+    ([[(0, 5), (10, 5)]], [[(0, 5), (10, 5), (0, 5)]], [[(0, 5), (10, 5), (10, 10), (0, 10), (0, 5)]]),  # opposite edges, a shared coordinate: no corners
+    ([[(2, 0), (5, 3), (7, 0)]], [[(2, 0), (5, 3), (7, 0), (2, 0)]], [[(2, 0), (5, 3), (7, 0), (10, 0), (10, 10), (0, 10), (0, 0), (2, 0)]]),  # around to the same edge: no corners
+    ([[(5, 10), (5, 0)]], [[(5, 10), (5, 0), (5, 10)]], [[(5, 10), (5, 0), (10, 0), (10, 10), (5, 10)]]),  # likewise, top to bottom
+]
+
+
+@pytest.mark.parametrize("correct", [False, True])
+def test_chain_and_close(spark, correct):
+    *got, two, three = rings(spark, [*(c[0] for c in CLOSED), [[(0, 8), (10, 8)], [(10, 2), (0, 2)]], THREE], correct=correct)
+    assert got == [full if correct and full else plain for _, plain, full in CLOSED]
     assert len(two) == 2 and all(r[0] == r[-1] for r in two)
-    three = coast.rings([[(1, 0), (1, 1), (2, 0)], [(3, 0), (3, 1), (4, 0)], [(5, 0), (5, 1), (6, 0)]], 10, 10)
-    assert len(three) == 1 and three[0][0] == three[0][-1] and len(three[0]) == 10
+    assert len(three) == 1 and three[0][0] == three[0][-1] and len(three[0]) == (14 if correct else 10)
+
+
+def place(p, w, h):
+    x, y = p
+    return x if y == 0 else w + y if x == w else 2 * w + h - x if y == h else 2 * (w + h) - y
+
+
+def by_hand(paths, w, h):
+    """The same by trying all paths at every step."""
+    work = {k: list(p) for k, p in enumerate(paths)}
+    is_open = lambda k: work[k][0] != work[k][-1]
+    for k in list(work):
+        behind = -1
+        while k in work and paths[k][0] != paths[k][-1]:
+            able = [j for j in work if j != k and is_open(j) and work[j][0] == work[k][-1]]
+            if not able:
+                break
+            behind = min(able, key=lambda j: (j <= behind, j))
+            work[k] += work.pop(behind)[1:]
+    for k in list(work):
+        if is_open(k) and any(0 < x < w and 0 < y < h for x, y in (work[k][0], work[k][-1])):
+            del work[k]
+    edge = lambda p: 0 if p[1] == 0 else 1 if p[0] == w else 2 if p[1] == h else 3
+    corner = [(w, 0), (w, h), (0, h), (0, 0)]
+    for k in list(work):
+        while k in work and is_open(k):
+            a = work[k][-1]
+            j = min((j for j in work if is_open(j)), key=lambda j: ((place(work[j][0], w, h) - place(a, w, h)) % (2 * (w + h)), j))
+            b = work[j][0]
+            if (a[0] != b[0] and a[1] != b[1]) or place(a, w, h) >= place(b, w, h):
+                e = edge(a)
+                while e != edge(b):
+                    work[k].append(corner[e])
+                    e = (e + 1) % 4
+            if j == k:
+                work[k].append(b)
+                break
+            tail = work.pop(j)
+            work[k] += tail[work[k][-1] == b :]
+    return list(work.values())
+
+
+def test_rings_of_random_paths(spark):
+    rng = random.Random(7)
+    on_edge = lambda: rng.choice([(rng.randint(0, 6), 0), (6, rng.randint(0, 6)), (rng.randint(0, 6), 6), (0, rng.randint(0, 6))])
+    inside = lambda: (rng.randint(1, 5), rng.randint(1, 5))
+    cases = []
+    for _ in range(150):
+        paths = []
+        for _ in range(rng.randint(1, 7)):
+            stops = [rng.choice([on_edge, inside])() for _ in range(rng.randint(2, 4))]
+            paths += [list(p) for p in zip(stops, stops[1:])] if rng.random() < 0.5 else [stops]
+        rng.shuffle(paths)
+        cases.append(paths)
+    assert rings(spark, cases, 6.0, 6.0) == [by_hand(c, 6, 6) for c in cases]
 
 
 def test_coast_table(spark):
