@@ -50,6 +50,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--prefix", default="output")
     out.add_argument("--map-directory", default=".")
     out.add_argument("--map-file")
+    out.add_argument("--park-icon", help="a PNG file that marks a park; otherwise a small tree does")
     out.add_argument("--cache-dir", help="folder of kept backdrops")
     out.add_argument("--options-file", help="a file of further options, as in a shell")
     for name in ("dummy-run", "verbose", "no-cache", "lenient"):
@@ -68,7 +69,7 @@ def parse_options(argv: list[str]) -> list[RunOptions]:
         if getattr(given, name.replace("-", "_")):
             logging.getLogger("mapframe").warning("--%s has no effect", name)
     colors = {field: c_integer(text, 32) for name, field in COLORS.items() if (text := getattr(given, name.replace("-", "_"))) is not None}
-    shared = RunOptions("", given.map_directory, given.map_file, given.prefix, c_integer(given.size), Style(**colors), given.dummy_run, given.verbose, given.no_cache, given.cache_dir, not given.lenient)
+    shared = RunOptions("", given.map_directory, given.map_file, given.prefix, c_integer(given.size), Style(**colors), given.dummy_run, given.verbose, given.no_cache, given.cache_dir, not given.lenient, given.park_icon)
     many = len(given.file) > 1
     return [replace(shared, config=f, prefix=f"{given.prefix}-{Path(f).stem}" if many else given.prefix) for f in given.file]
 
@@ -80,7 +81,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from mapframe.plans.render import write_city
 
-    spark = SparkSession.builder.appName("mapframe").getOrCreate()
+    spark = SparkSession.builder.appName("mapframe").config("spark.sql.python.filterPushdown.enabled", "true").getOrCreate()
     for run in runs:
         write_city(spark, run)
     return 0

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from mapframe.schema import Style, Viewport
 
 #: Part of every key: raise it when the meaning of what is kept changes.
-VERSION = 1
+VERSION = 2
 
 
 def backdrop_key(view: Viewport, style: Style, inputs: list[str] | None = None, rule: str = "") -> str:
-    """SHA-256 of the box, the size, the colour of water, whether water is in front, the input files and the tag rule."""
+    """SHA-256 of the box, the size, the colour of water, whether water is in front, the inputs (by their fingerprints) and the tag rule."""
     b = view.box
     data = struct.pack("=4d2iI", b.lat_min, b.lon_min, b.lat_max, b.lon_max, view.width, view.height, style.water)
     data += b"\x01" if style.water_in_front else b""

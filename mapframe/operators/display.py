@@ -66,13 +66,22 @@ def modes_of(areas: DataFrame, modes: tuple[str, ...]) -> DataFrame:
     return out
 
 
+#: Pictures of a tile that are broadcast at most, five numbers each.
+MOST_PICTURES = 100_000
+
+
+def _counted(chosen: DataFrame) -> DataFrame:
+    """The pictures, to be broadcast if they were counted to be few; the product with them is the result all the same."""
+    return F.broadcast(chosen) if chosen.limit(MOST_PICTURES + 1).count() <= MOST_PICTURES else chosen
+
+
 def area_pictures(areas: DataFrame, landmarks: DataFrame, view: Viewport, style: Style, modes: tuple[str, ...]) -> DataFrame:
     """The pictures of a tile without its backdrop, which :func:`display_list` puts behind or in front of the areas."""
     chosen = modes_of(areas, modes)
     whole = _rect(geo.num(0), geo.num(0), geo.num(view.width), geo.num(view.height))
     pixel = geo.scale(geo.translate(F.col("points"), view), view)
     on = F.col("idx") == F.col("active")
-    drawn = areas.join(F.broadcast(chosen))  # a city's modes by its areas: the product is the result
+    drawn = areas.crossJoin(_counted(chosen))  # a city's modes by its areas: the product is the result
     center = geo.to_pixel(F.col("center.x"), F.col("center.y"), view)
     w, h = geo.text_extent(F.col("name"), view.font_size)
     box = geo.label_box(F.col("c.x"), F.col("c.y"), w, h, view)
@@ -80,7 +89,7 @@ def area_pictures(areas: DataFrame, landmarks: DataFrame, view: Viewport, style:
     hover = on & (F.col("mode") == "HOVER")
     grown = geo.inset(F.col("box"), -3.0)
     corners = lambda b: _rect(b["x"], b["y"], b["x"] + b["w"], b["y"] + b["h"])
-    mark = landmarks.where("display").withColumn("c", geo.to_pixel(F.col("lon"), F.col("lat"), view)).join(F.broadcast(chosen))
+    mark = landmarks.where("display").withColumn("c", geo.to_pixel(F.col("lon"), F.col("lat"), view)).crossJoin(_counted(chosen))
     _, mark_h = geo.text_extent(F.col("label"), view.font_size)
     half = view.bullet // 2
     parts = [
@@ -104,7 +113,7 @@ def display_list(back: DataFrame | None, areas: DataFrame, landmarks: DataFrame,
     out = area_pictures(areas, landmarks, view, style, modes)
     if back is not None:
         layer = 4 if style.water_in_front else 1
-        shown = back.join(F.broadcast(modes_of(areas, modes)))
+        shown = back.crossJoin(_counted(modes_of(areas, modes)))
         out = out.unionByName(shown.withColumn("z", F.lit(layer * _STEP) + F.shiftright("z", 32) * F.lit(1 << 30) + F.pmod(F.col("z"), F.lit(1 << 30))).select(*out.columns))
     return out.select(F.lit(view.width).alias("tile"), "mode", F.col("active").alias("area_idx"), *COLUMNS[3:])
 

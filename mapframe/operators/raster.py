@@ -79,6 +79,35 @@ def rectangle(points: Points) -> Points:
     return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
 
 
+def rounded(points: Points, radius: float) -> Points:
+    """A rectangle whose corners are quarter circles."""
+    (x0, y0), (x1, y1) = points
+    r = min(radius, (x1 - x0) / 2, (y1 - y0) / 2)
+    out = []
+    for k, (x, y) in enumerate(((x0 + r, y0 + r), (x1 - r, y0 + r), (x1 - r, y1 - r), (x0 + r, y1 - r))):
+        out += [(x + r * np.cos(t), y + r * np.sin(t)) for t in np.linspace(np.pi * (1 + k / 2), np.pi * (1.5 + k / 2), 6)]
+    return out
+
+
+def tree(size: int = 16) -> np.ndarray:
+    """The mark of a park: a crown on a trunk."""
+    out = np.zeros((size, size, 4))
+    turn = np.linspace(0, 2 * np.pi, 25)[:-1]
+    blend(out, 0xFF7A5C3E, coverage([rectangle([(size * 0.44, size * 0.55), (size * 0.56, size * 0.95)])], size, size))
+    blend(out, 0xFF5F9E4A, coverage([[(size * (0.5 + 0.32 * np.cos(t)), size * (0.38 + 0.32 * np.sin(t))) for t in turn]], size, size))
+    return np.round(out * 255).astype(np.uint8)
+
+
+def paint(canvas: np.ndarray, image: np.ndarray, center: tuple[float, float]) -> None:
+    """Lay an image (RGBA, premultiplied) over the canvas, its centre at a point, half its size rounded to whole pixels."""
+    height, width = image.shape[:2]
+    left, top = (int(np.floor(c + 0.5)) - int(np.floor(n * 0.5 + 0.5)) for c, n in zip(center, (width, height), strict=True))
+    x0, y0, x1, y1 = max(left, 0), max(top, 0), min(left + width, canvas.shape[1]), min(top + height, canvas.shape[0])
+    if x0 < x1 and y0 < y1:
+        own = image[y0 - top : y1 - top, x0 - left : x1 - left] / 255
+        canvas[y0:y1, x0:x1] = canvas[y0:y1, x0:x1] * (1 - own[..., 3:]) + own
+
+
 def text_blocks(text: str, points: Points, font_size: float = 10) -> list[Points]:
     """A block for each letter that is not a space."""
     x, y = points[0]
@@ -103,7 +132,7 @@ def blend(canvas: np.ndarray, color: int, cover: np.ndarray, op: str = "over") -
     canvas[..., 3] += alpha
 
 
-def draw(commands: list[dict], width: int, height: int) -> np.ndarray:
+def draw(commands: list[dict], width: int, height: int, icon: np.ndarray | None = None) -> np.ndarray:
     """RGBA (uint8) of commands in their order. Backdrop commands are drawn on a surface of their own, so that erased
     bridges show what is under the water; areas are drawn through the mask of all of them without their outlines."""
     canvas = np.zeros((height, width, 4))
@@ -114,7 +143,9 @@ def draw(commands: list[dict], width: int, height: int) -> np.ndarray:
         cmd, points = c["cmd"], shape(c)
         if cmd == "stroke":
             return coverage(stroke(points, c["width"]), width, height)
-        if cmd in ("rect", "rect_round"):
+        if cmd == "rect_round":
+            return coverage([rounded(points, c["width"])], width, height)
+        if cmd == "rect":
             return coverage([rectangle(points)], width, height)
         if cmd == "text":
             return coverage(text_blocks(c["text"], points), width, height)
@@ -144,7 +175,9 @@ def draw(commands: list[dict], width: int, height: int) -> np.ndarray:
         canvas[...] = canvas * (1 - source[..., 3:]) + source
     surface(layers[4])
     for c in [*layers[5], *layers[6]]:
-        if c["cmd"] != "icon":
+        if c["cmd"] == "icon":
+            paint(canvas, tree() if icon is None else icon, shape(c)[0])
+        else:
             blend(canvas, c["color"], cover(c))
     return np.round(np.clip(canvas, 0, 1) * 255).astype(np.uint8)
 
@@ -204,14 +237,14 @@ def load_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, width int, height int, rgba binary")
 
 
-def pictures(commands: DataFrame, keys: list[str]) -> DataFrame:
+def pictures(commands: DataFrame, keys: list[str], icon: np.ndarray | None = None) -> DataFrame:
     """``keys, width, height, rgba``: a drawn picture for each group of commands; its size is that of its tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 size = r["_size"]
-                drawn = {**{k: [r[k]] for k in keys}, "width": [size], "height": [size], "rgba": [draw(r["_c"], size, size).tobytes()]}
+                drawn = {**{k: [r[k]] for k in keys}, "width": [size], "height": [size], "rgba": [draw(r["_c"], size, size, icon).tobytes()]}
                 yield pa.RecordBatch.from_pydict(drawn, schema=arrow)
 
     # A picture's commands are few and its size is fixed, so a group is small; the place in the order of painting comes first.

@@ -11,8 +11,11 @@ from mapframe.functions import geo
 from mapframe.functions import style as styles
 from mapframe.functions import tags as T
 from mapframe.operators import clip as clips
+from mapframe.operators import display
 from mapframe.operators import ways as W
 from mapframe.operators.cache import backdrop_key
+from mapframe.operators.coast import coast_rings, dangles
+from mapframe.operators.display import backdrop, differences
 from mapframe.plans import proxy
 from mapframe.plans.proxy import BOX, WORLD, table
 from mapframe.schema import Box, Style, Viewport
@@ -115,28 +118,58 @@ def sha256_key(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), F.sha2(F.concat_ws("|", F.col("p_size").cast("string"), "p_brand", "p_type"), 256).alias("digest"))
 
 
-_KEY = backdrop_key(WORLD, Style())
+#: The box (1, 900, 50, 1000) as four doubles, the size (396, 396) as two 32-bit integers, the colour 0xFFA1C5ED of the
+#: water and a 1 for water in front, all little-endian.
+_KEY_BYTES = "000000000000F03F" "0000000000208C40" "0000000000004940" "0000000000408F40" "8C010000" "8C010000" "EDC5A1FF" "01"
 
 
-@query(f"SELECT r_regionkey AS idx, '{_KEY}' AS key FROM region")
+@query(f"SELECT r_regionkey AS idx, sha256(unhex('{_KEY_BYTES}')) AS key FROM region")
 def cache_key(spark, sf_dir):
     return table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("idx"), F.lit(backdrop_key(WORLD, Style())).alias("key"))
 
 
 @query("""
-WITH RECURSIVE chain AS (
-  SELECT c_custkey AS start, c_custkey AS node, 0 AS hops FROM customer WHERE c_custkey <= 3
-  UNION ALL SELECT start, c_custkey, hops + 1 FROM chain JOIN customer ON c_custkey = node * 2 WHERE hops < 8
-)
-SELECT start, node, hops FROM chain
+WITH t AS (SELECT s_suppkey AS tile, s_suppkey % 5 + 3 AS k FROM supplier)
+SELECT tile, CAST(p AS INTEGER) AS pos, CAST((k - 1 + p) % k + 1 AS DOUBLE) AS x, CAST(((k - 1 + p) % k) * ((k - 1 + p) % k) + 1 AS DOUBLE) AS y
+FROM (SELECT tile, k, unnest(range(0, k + 1)) AS p FROM t)
+""")
+def coast_chain(spark, sf_dir):
+    """Rings of three to seven points in pieces of one segment, the last first: the first part is the one that ends them."""
+    k = F.col("s_suppkey") % 5 + 3
+    corner = lambda i: geo.point(i + 1, i * i + 1)
+    pieces = F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda n: F.array(corner(k - 1 - n), corner(F.pmod(k - n, k)))))
+    parts = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tile"), F.lit("parts").alias("path"), pieces.alias("sub", "points")).withColumn("way_id", F.col("sub"))
+    made = coast_rings(parts, 50, 50, ["tile"])
+    return made.select("tile", F.posexplode("points").alias("pos", "p")).select("tile", "pos", "p.x", "p.y")
+
+
+@query("""
+WITH c AS (SELECT s_suppkey AS tile, CAST(s_suppkey % 29 + 1 AS DOUBLE) AS a, CAST(s_nationkey + 1 AS DOUBLE) AS b FROM supplier),
+p AS (SELECT tile, [{'x': CAST(0 AS DOUBLE), 'y': a}, {'x': CAST(20 AS DOUBLE), 'y': CAST(5 AS DOUBLE)}, {'x': CAST(40 AS DOUBLE), 'y': b}]
+  || CASE WHEN a <> b THEN [{'x': CAST(40 AS DOUBLE), 'y': CAST(30 AS DOUBLE)}, {'x': CAST(0 AS DOUBLE), 'y': CAST(30 AS DOUBLE)}] ELSE [] END || [{'x': CAST(0 AS DOUBLE), 'y': a}] AS p FROM c)
+SELECT tile, CAST(i - 1 AS INTEGER) AS pos, p[i].x AS x, p[i].y AS y FROM (SELECT tile, p, unnest(range(1, len(p) + 1)) AS i FROM p)
 """)
-def chain_recursive(spark, sf_dir):
-    table(spark, sf_dir, "customer").select("c_custkey").createOrReplaceTempView("_chain_nodes")
-    return spark.sql("""
-      WITH RECURSIVE chain(start, node, hops) AS (
-        SELECT c_custkey, c_custkey, 0 FROM _chain_nodes WHERE c_custkey <= 3
-        UNION ALL SELECT start, c_custkey, hops + 1 FROM chain JOIN _chain_nodes ON c_custkey = node * 2 WHERE hops < 8
-      ) SELECT start, node, hops FROM chain""")
+def coast_edges(spark, sf_dir):
+    """A coast from the left edge to the right one in two pieces beyond the picture: clipped, chained and closed below."""
+    a, b = (F.col("s_suppkey") % 29 + 1).cast("double"), (F.col("s_nationkey") + 1).cast("double")
+    pieces = F.array(F.array(geo.point(geo.num(20), geo.num(5)), geo.point(geo.num(40), b), geo.point(geo.num(60), b)), F.array(geo.point(geo.num(-9), a), geo.point(geo.num(0), a), geo.point(geo.num(20), geo.num(5))))
+    paths = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tile"), F.lit("parts").alias("path"), F.posexplode(pieces).alias("n", "points")).withColumn("way_id", -F.col("n"))
+    made = coast_rings(clips.clip(paths, 40, 30, ["tile", "path", "way_id"]), 40, 30, ["tile"])
+    return made.select("tile", F.posexplode("points").alias("pos", "p")).select("tile", "pos", "p.x", "p.y")
+
+
+@query(f"""
+WITH s AS (SELECT way_id, pos, x, y, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM ({_PIXELS}) WINDOW w AS (PARTITION BY way_id ORDER BY pos)),
+i AS (SELECT way_id, pos, x BETWEEN 0 AND 200 AND y BETWEEN 0 AND 200 AS a, bx BETWEEN 0 AND 200 AND by_ BETWEEN 0 AND 200 AS b FROM s WHERE bx IS NOT NULL AND (x <> bx OR y <> by_))
+SELECT way_id, CAST(count(*) AS BIGINT) AS inside FROM i WHERE a AND b GROUP BY way_id
+""")
+def clip_parts(spark, sf_dir):
+    """Segments that lie within the picture as a whole, counted in the parts that clipping leaves of each way."""
+    made = clips.clip(proxy.paths(spark, sf_dir), 200, 200, ["way_id"])
+    kept = clips.segments(made, ["way_id", "sub"]).select("way_id", geo.point(F.col("ax"), F.col("ay")).alias("a"), geo.point(F.col("bx"), F.col("by")).alias("b")).where("a <> b")
+    whole = clips.segments(proxy.paths(spark, sf_dir), ["way_id"]).select("way_id", "seg", geo.point(F.col("ax"), F.col("ay")).alias("a"), geo.point(F.col("bx"), F.col("by")).alias("b"))
+    found = whole.join(kept.distinct(), ["way_id", "a", "b"], "left_semi")
+    return found.groupBy("way_id").agg(F.count("*").alias("inside"))
 
 
 @query("SELECT n_nationkey AS idx, CAST((((CAST(4289644257 AS BIGINT) + n_nationkey) >> 1) & 2139062143) + ((CAST(4292798961 AS BIGINT) >> 1) & 2139062143) AS BIGINT) AS color FROM nation")
@@ -213,19 +246,20 @@ SELECT i, j AS nearest, ahead FROM (SELECT *, row_number() OVER (PARTITION BY i
 def nearest_next(spark, sf_dir):
     i, ring = F.col("s_suppkey"), geo.num(1000)
     n = table(spark, sf_dir, "supplier").select(i.alias("i"), F.col("s_nationkey").alias("g"), ((i * 37) % 1000).cast("double").alias("st"), ((i * 91) % 1000).cast("double").alias("en"))
-    # Starts of a group in order: the nearest at or after an end is found by one search, or else the first one, around.
-    starts = n.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("st", "i"))).alias("s"))
-    after = F.filter("s", lambda p: p["st"] >= F.col("en"))
-    best = F.coalesce(F.try_element_at(after, F.lit(1)), F.try_element_at(F.col("s"), F.lit(1)))
-    ahead = F.col("b.st") - F.col("en")
-    return n.join(starts, "g").withColumn("b", best).select("i", F.col("b.i").alias("nearest"), F.when(ahead < 0, ahead + ring).otherwise(ahead).alias("ahead"))
+    # Starts and ends of a group, the farthest first and a start before an end at its place: the least start so far is the
+    # nearest one at or after an end; where there is none, the least of all, around.
+    none = F.lit(None).cast("struct<st:double,i:bigint>")
+    starts = n.select("g", F.col("st").alias("at"), F.lit(0).alias("kind"), F.struct("st", "i").alias("s"), F.lit(None).cast("bigint").alias("i"))
+    both = starts.unionByName(n.select("g", F.col("en").alias("at"), F.lit(1).alias("kind"), none.alias("s"), "i"))
+    order = Window.partitionBy("g").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumns({"b": F.min("s").over(order), "least": F.min("s").over(Window.partitionBy("g"))}).where("kind = 1").withColumn("b", F.coalesce("b", "least"))
+    ahead = F.col("b.st") - F.col("at")
+    return found.select("i", F.col("b.i").alias("nearest"), F.when(ahead < 0, ahead + ring).otherwise(ahead).alias("ahead"))
 
 
 @query("SELECT m AS mode, n_nationkey AS active FROM nation, (SELECT unnest(['HOVER', 'ACTIVE']) AS m) UNION ALL SELECT 'BASE', -1 UNION ALL SELECT 'CALLOUT', n_nationkey FROM nation")
 def mode_cross(spark, sf_dir):
-    from mapframe.operators.display import MODES, modes_of
-
-    return modes_of(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("idx")), MODES)
+    return display.modes_of(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("idx")), display.MODES)
 
 
 @query("SELECT l_partkey AS node_id FROM lineitem WHERE l_quantity < 10 UNION SELECT p_partkey FROM part WHERE p_size < 10")
@@ -296,18 +330,18 @@ def tag_lookup(spark, sf_dir):
     return proxy.ways(spark, sf_dir).select("way_id", T.tag(t, "natural").alias("v"), T.tag_is(t, "natural", "1-URGENT", "2-HIGH").alias("high"), T.tag(t, "none").alias("missing"), T.has_tag(t, "none").alias("has_missing"))
 
 
-@query("SELECT count(*) AS refs, count(*) FILTER (p_partkey IS NULL) AS missing FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
+@query("SELECT l_orderkey AS way_id, count(*) AS refs, count(p_partkey) FILTER (p_partkey % 3 <> 0) AS placed FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
 def strict_coord_join(spark, sf_dir):
-    nodes = proxy.nodes(spark, sf_dir)
-    refs = table(spark, sf_dir, "lineitem").select(F.lit("parts").alias("path"), F.col("l_partkey").alias("node_id"))
-    return refs.join(nodes, ["path", "node_id"], "left").agg(F.count("*").alias("refs"), F.count_if(F.col("lat_nano").isNull()).alias("missing"))
+    """Every third node is missing, which leaves out its vertices where the assembly is not strict."""
+    refs = proxy.refs(spark, sf_dir)
+    built = W.assemble_paths(refs, proxy.nodes(spark, sf_dir).where("node_id % 3 <> 0"), strict=False)
+    return refs.groupBy("way_id").agg(F.count("*").alias("refs")).join(built.select("way_id", F.size("points").cast("long").alias("placed")), "way_id")
 
 
-@query(f"SELECT way_id, count(*) AS n, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY pos) AS nodes FROM ({_PLACED}) GROUP BY way_id")
+@query(f"SELECT way_id, count(*) AS n, string_agg(CAST(p_size AS VARCHAR), ',' ORDER BY pos) AS latitudes FROM ({_PLACED}) JOIN part ON p_partkey = node_id GROUP BY way_id")
 def path_assemble(spark, sf_dir):
-    refs = proxy.refs(spark, sf_dir)
-    listed = refs.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id"))).alias("r"))
-    return listed.select("way_id", F.size("r").cast("long").alias("n"), F.array_join(F.transform("r", lambda r: r["node_id"].cast("string")), ",").alias("nodes"))
+    built = W.assemble_paths(proxy.refs(spark, sf_dir), proxy.nodes(spark, sf_dir))
+    return built.select("way_id", F.size("points").cast("long").alias("n"), F.array_join(F.transform("points", lambda p: F.round(p["y"]).cast("long").cast("string")), ",").alias("latitudes"))
 
 
 @query("SELECT o_custkey AS rel_id, o_orderkey AS ref FROM orders JOIN customer ON c_custkey = o_custkey")
@@ -337,10 +371,8 @@ WITH e AS (SELECT way_id, arg_min({{'x': x, 'y': y}}, pos) AS a, arg_max({{'x':
 SELECT way_id, a = b AS is_closed FROM e WHERE a = b OR NOT ((a.x > 0 AND a.y > 0 AND a.x < 200 AND a.y < 200) OR (b.x > 0 AND b.y > 0 AND b.x < 200 AND b.y < 200))
 """)
 def dangling_drop(spark, sf_dir):
-    paths = proxy.paths(spark, sf_dir).withColumns({"a": F.element_at("points", 1), "b": F.element_at("points", -1)})
-    inside = geo.strictly_inside(F.col("a"), 200, 200) | geo.strictly_inside(F.col("b"), 200, 200)
-    closed = geo.is_closed(F.col("points"))
-    return paths.where(closed | ~inside).select("way_id", closed.alias("is_closed"))
+    points = F.col("points")
+    return proxy.paths(spark, sf_dir).where(~dangles(points, 200, 200)).select("way_id", geo.is_closed(points).alias("is_closed"))
 
 
 @query("""
@@ -385,11 +417,15 @@ def append_all(spark, sf_dir):
     return one(5, "coast").unionByName(one(10, "bridge"))
 
 
-@query("SELECT c_nationkey AS area, c_mktsegment AS cmd FROM customer EXCEPT ALL SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 0")
+@query("""
+WITH c AS (SELECT c_nationkey AS tile, c_mktsegment AS cmd, c_custkey % 2 AS z, c_acctbal > 0 AS base FROM customer)
+SELECT tile, cmd, z FROM c WHERE NOT base AND NOT EXISTS (SELECT 1 FROM c b WHERE b.base AND b.tile = c.tile AND b.cmd = c.cmd AND b.z = c.z)
+""")
 def image_diff(spark, sf_dir):
+    none = lambda t: F.lit(None).cast(t)
     c = table(spark, sf_dir, "customer")
-    cols = [F.col("c_nationkey").alias("area"), F.col("c_mktsegment").alias("cmd")]
-    return c.select(*cols).exceptAll(c.where("c_acctbal > 0").select(*cols))
+    rows = c.select(F.col("c_nationkey").alias("tile"), F.when(F.col("c_acctbal") > 0, "BASE").otherwise("HOVER").alias("mode"), none("int").alias("area_idx"), (F.col("c_custkey") % 2).alias("z"), F.col("c_mktsegment").alias("cmd"), none("long").alias("color"), none("double").alias("width"), F.lit("over").alias("op"), none("string").alias("text"), F.array(geo.point(geo.num(1), geo.num(2))).alias("points"))
+    return differences(rows).select("tile", "cmd", "z")
 
 
 @query(f"SELECT DISTINCT l_partkey AS node_id FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE {_IN_BOX})")
@@ -401,9 +437,8 @@ def closure_refs(spark, sf_dir):
 
 @query("SELECT n_nationkey AS id, n_name AS key, r_name AS value FROM nation JOIN region ON r_regionkey = n_regionkey")
 def string_lookup(spark, sf_dir):
-    strings = table(spark, sf_dir, "region").groupBy().agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("s"))  # a block's dictionary
-    rows = table(spark, sf_dir, "nation").join(F.broadcast(strings))
-    return rows.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("key"), F.element_at("s", F.col("n_regionkey") + 1)["r_name"].alias("value"))
+    strings = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("value"))
+    return table(spark, sf_dir, "nation").join(strings, "n_regionkey").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("key"), "value")
 
 
 @query("SELECT o_orderpriority AS tag, count(*) AS n FROM orders GROUP BY o_orderpriority")
@@ -412,29 +447,43 @@ def ways_count(spark, sf_dir):
 
 
 @query(f"""
-SELECT CAST(0 AS BIGINT) AS z, 'rect' AS cmd, CAST({_S.land} AS BIGINT) AS color, CAST(-1 AS BIGINT) AS id
-UNION ALL SELECT 4294967296 + o_orderkey, 'fill', {_S.water}, o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'
-UNION ALL SELECT 2 * 4294967296 + o_orderkey, 'stroke', 4294967295, o_orderkey FROM orders WHERE o_orderstatus = 'P'
+WITH p AS (
+  SELECT way_id, count(*) AS n, arg_min({{'x': x, 'y': y}}, pos) = arg_max({{'x': x, 'y': y}}, pos) AS closed FROM ({_PIXELS}) GROUP BY way_id
+), w AS (SELECT p.*, o_orderpriority AS priority, o_orderstatus AS status FROM p JOIN orders ON o_orderkey = way_id)
+SELECT CAST(1 AS INTEGER) AS layer, 'fill' AS cmd, CAST({Style().water} AS BIGINT) AS color, CAST(NULL AS DOUBLE) AS width, 'over' AS op, CAST(n + CASE WHEN closed THEN 0 ELSE 1 END AS INTEGER) AS points, count(*) AS ways FROM w WHERE priority = '1-URGENT' GROUP BY ALL
+UNION ALL SELECT 2, 'stroke', 4294967295, 2, 'dest_out', CAST(n AS INTEGER), count(*) FROM w WHERE status = 'P' GROUP BY ALL
 """)
 def layers(spark, sf_dir):
-    w, step = proxy.ways(spark, sf_dir), F.lit(1 << 32)
-    one = lambda k, rows, cmd, color: rows.select((step * k + F.col("way_id")).alias("z"), F.lit(cmd).alias("cmd"), F.lit(color).cast("long").alias("color"), F.col("way_id").alias("id"))
-    land = spark.range(1).select(F.lit(0).cast("long").alias("z"), F.lit("rect").alias("cmd"), F.lit(_S.land).cast("long").alias("color"), F.lit(-1).cast("long").alias("id"))
-    water = w.where(T.tag_is(F.col("tags"), "natural", "1-URGENT"))
-    bridges = w.where(T.tag_is(F.col("tags"), "landuse", "P"))
-    return land.unionByName(one(1, water, "fill", _S.water)).unionByName(one(2, bridges, "stroke", 0xFFFFFFFF))
+    """The backdrop of water ways and bridges, counted by the form of its commands."""
+    tags = F.filter(F.array(F.when(T.tag_is(F.col("tags"), "natural", "1-URGENT"), F.struct(F.lit("natural").alias("key"), F.lit("water").alias("value"))), F.when(T.tag_is(F.col("tags"), "landuse", "P"), F.struct(F.lit("bridge").alias("key"), F.lit("yes").alias("value")))), lambda t: t.isNotNull())
+    built = W.assemble_paths(proxy.refs(spark, sf_dir), proxy.nodes(spark, sf_dir))
+    ways = proxy.ways(spark, sf_dir).select("way_id", F.map_from_entries(tags).alias("tags")).join(built, "way_id")
+    made = backdrop(ways, WORLD, Style())
+    return made.groupBy(F.shiftright("z", 32).cast("int").alias("layer"), "cmd", "color", "width", "op", F.size("points").alias("points")).agg(F.count("*").alias("ways"))
 
 
-@query("""
-SELECT CAST(n_nationkey AS BIGINT) AS area_idx, m AS mode, CAST(CASE WHEN n_nationkey = a AND m = 'ACTIVE' THEN 4294887425 WHEN n_regionkey = 2 THEN 4293062356 ELSE 4292798961 END AS BIGINT) AS color, a AS active
-FROM nation, (SELECT 'BASE' AS m, -1 AS a UNION ALL SELECT 'ACTIVE', n_nationkey FROM nation)
+_LAYER = 4294967296
+
+
+@query(f"""
+WITH m AS (SELECT 'BASE' AS mode, -1 AS active UNION ALL SELECT unnest(['HOVER', 'ACTIVE', 'CALLOUT']), n_nationkey FROM nation),
+d AS (SELECT m.*, n_nationkey AS idx, n_regionkey AS type, n_name AS name, n_nationkey = active AS chosen FROM m, nation),
+l AS (SELECT m.*, s_suppkey AS idx, s_name AS label FROM m, supplier WHERE s_suppkey % 5 = 0)
+SELECT mode, active, CAST(0 AS BIGINT) AS z, 'rect' AS cmd, CAST({Style().land} AS BIGINT) AS color, CAST(NULL AS DOUBLE) AS width, 'over' AS op, CAST(NULL AS VARCHAR) AS text, 2 AS points FROM m
+UNION ALL SELECT mode, active, 2 * {_LAYER} + idx, 'fill_masked', CASE WHEN chosen AND mode IN ('ACTIVE', 'CALLOUT') THEN {Style().active_area}
+  WHEN chosen AND mode = 'HOVER' THEN CASE WHEN type = 2 THEN {Style().hover_park} ELSE {Style().hover_area} END WHEN type = 2 THEN {Style().park} ELSE {Style().inactive_area} END, NULL, 'over', NULL, 3 FROM d
+UNION ALL SELECT mode, active, 3 * {_LAYER} + idx, 'mask_stroke', NULL, 3, 'dest_out', NULL, 3 FROM d
+UNION ALL SELECT mode, active, 5 * {_LAYER} + 2 * idx, 'icon', NULL, NULL, 'over', 'park', 1 FROM d WHERE type = 2
+UNION ALL SELECT mode, active, 5 * {_LAYER} + 2 * idx, 'rect_round', {Style().active_label_background}, 4, 'over', NULL, 2 FROM d WHERE type <> 2 AND chosen AND mode = 'HOVER'
+UNION ALL SELECT mode, active, 5 * {_LAYER} + 2 * idx + 1, 'text', CASE WHEN chosen AND mode = 'HOVER' THEN {Style().active_label} ELSE {Style().inactive_label} END, NULL, 'over', name, 2 FROM d WHERE type <> 2
+UNION ALL SELECT mode, active, 6 * {_LAYER} + 2 * idx, 'text', {Style().landmark_label}, NULL, 'over', label, 1 FROM l
+UNION ALL SELECT mode, active, 6 * {_LAYER} + 2 * idx + 1, 'rect', {Style().landmark_bullet}, NULL, 'over', NULL, 2 FROM l
 """)
 def display_list(spark, sf_dir):
-    from mapframe.operators import display
-
+    """Every command of all four modes: areas, parks, labels and landmarks, of which every fifth is shown."""
     zero = F.array(geo.point(geo.num(0), geo.num(0)), geo.point(geo.num(1), geo.num(1)))
     areas = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("idx"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("type"), geo.point(geo.num(950), geo.num(20)).alias("center"), zero.alias("points"))
-    marks = areas.limit(0).select("idx", F.lit(True).alias("display"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), F.col("name").alias("label"))
-    made = display.display_list(None, areas, marks, Viewport(Box(1, 900, 50, 1000)), Style(), ("BASE", "ACTIVE"))
-    fills = made.where("cmd = 'fill_masked'")
-    return fills.select((F.col("z") - F.lit(2 << 32)).alias("area_idx"), "mode", "color", F.col("area_idx").alias("active"))
+    k = F.col("s_suppkey")
+    marks = table(spark, sf_dir, "supplier").select(k.alias("idx"), (k % 5 == 0).alias("display"), geo.num(910).alias("lon"), geo.num(30).alias("lat"), F.col("s_name").alias("label"))
+    made = display.display_list(None, areas, marks, Viewport(Box(1, 900, 50, 1000)), Style(), display.MODES)
+    return made.select("mode", F.col("area_idx").alias("active"), "z", "cmd", "color", "width", "op", "text", F.size("points").alias("points"))

@@ -16,7 +16,7 @@ from mapframe.operators.display import COLUMNS, backdrop, differences, display_l
 from mapframe.operators.ways import ways_in_rect
 from mapframe.schema import Box, RunOptions, Viewport
 from mapframe.sources.config import Config, load_config
-from mapframe.sources.files import covering_files
+from mapframe.sources.files import covering_files, fingerprint
 from mapframe.sources.pbf import open_path, read_pbf
 
 log = logging.getLogger("mapframe")
@@ -63,7 +63,7 @@ def render_city(spark: SparkSession, options: RunOptions, config: Config | None
         return state["ways"]
 
     def back(v: Viewport) -> DataFrame | None:
-        key = backdrop_key(v, style, [options.map_file or options.map_directory], "render_filter")
+        key = backdrop_key(v, style, fingerprint([options.map_file or options.map_directory]), "render_filter")
         build = lambda: backdrop(w, v, style) if (w := ways()) is not None else None
         return cached(spark, options.cache_dir, key, build, not options.no_cache, not options.dummy_run)
 
@@ -80,16 +80,25 @@ def write_city(spark: SparkSession, options: RunOptions) -> None:
     made = render_city(spark, options)
     made["atlas"].write.mode("overwrite").parquet(f"{options.prefix}-atlas.parquet")
     made["callouts"].write.mode("overwrite").partitionBy("area_idx").parquet(f"{options.prefix}-callouts.parquet")
+    icon = _icon(options.icon)
     full = made["pictures"].select("mode", "area_idx", *COLUMNS[3:], "tile")
-    shots = {(r.mode, r.area_idx): _pixels(r) for r in raster.pictures(full, ["mode", "area_idx"]).toLocalIterator()}
+    shots = {(r.mode, r.area_idx): _pixels(r) for r in raster.pictures(full, ["mode", "area_idx"], icon).toLocalIterator()}
     base = shots.pop(("BASE", -1))
     order = sorted(shots, key=lambda k: (k[1], k[0] == "ACTIVE"))
     images = [base, *(raster.trimmed(raster.changed(shots[k], base)) for k in order)]
     _save(f"{options.prefix}.png", raster.png(raster.atlas(images)))
-    for r in raster.pictures(made["callouts"].drop("area_idx"), ["file"]).toLocalIterator():
+    for r in raster.pictures(made["callouts"].drop("area_idx"), ["file"], icon).toLocalIterator():
         _save(r.file, raster.png(_pixels(r)))
 
 
+def _icon(path: str | None) -> np.ndarray:
+    if path is None:
+        return raster.tree()
+    fs, at = open_path(path)
+    with fs.open_input_stream(at) as file:
+        return raster.read_png(file.read())
+
+
 def _pixels(row) -> np.ndarray:
     return np.frombuffer(row.rgba, np.uint8).reshape(row.height, row.width, 4)
 

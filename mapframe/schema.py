@@ -97,3 +97,4 @@ class RunOptions:
     no_cache: bool = False
     cache_dir: str | None = None
     strict: bool = True
+    icon: str | None = None

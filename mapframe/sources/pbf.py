@@ -147,9 +147,9 @@ class Block:
 
 
 class Blobs(InputPartition):
-    """A run of blobs ``(number, offset, size)`` of one file."""
+    """A run of blobs ``(number, offset, size, kind)`` of one file."""
 
-    def __init__(self, path: str, blobs: list[tuple[int, int, int]]):
+    def __init__(self, path: str, blobs: list[tuple[int, int, int, str]]):
         self.path, self.blobs = path, blobs
 
 
@@ -167,13 +167,13 @@ class PbfReader(DataSourceReader):
         out = []
         for path in (file for p in self.paths for file in listed(p)):
             if self.entity == "header":
-                out.append(Blobs(path, [x[:2] + x[3:] for x in frames(path, True) if x[2] == _HEADER]))
+                out.append(Blobs(path, [(n, o, size, kind) for n, o, kind, size in frames(path, True) if kind == _HEADER]))
                 continue
             held, size = [], 0
             for number, offset, kind, datasize in frames(path):
                 if self.entity != "blobs" and kind != _DATA:
                     continue
-                held.append((number, offset, datasize))
+                held.append((number, offset, datasize, kind))
                 size += datasize
                 if size >= self.bytes:
                     out.append(Blobs(path, held))
@@ -183,16 +183,14 @@ class PbfReader(DataSourceReader):
         return out
 
     def read(self, partition: Blobs) -> Iterator[pa.RecordBatch]:
-        if self.entity == "blobs":
-            kinds = {n: k for n, _, k, _ in frames(partition.path)}
         system, at = open_path(partition.path)
         with system.open_input_file(at) as file:
-            for number, offset, size in partition.blobs:
+            for number, offset, size, kind in partition.blobs:
                 payload, codec = inflated(file.read_at(size, offset))
                 if self.entity == "header":
                     yield self._batch([header_row(partition.path, payload)])
                 elif self.entity == "blobs":
-                    yield self._batch([{"path": partition.path, "idx": number, "offset": offset, "type": kinds[number], "datasize": size, "codec": codec}])
+                    yield self._batch([{"path": partition.path, "idx": number, "offset": offset, "type": kind, "datasize": size, "codec": codec}])
                 else:
                     yield self._decoded(partition.path, number, Block(payload, self.fixed, self.strict))
 

@@ -1,5 +1,7 @@
 import json
+import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,9 +55,13 @@ def test_cache_and_output(spark, city):
     assert spark.read.parquet(f"{city}/out-callouts.parquet").select("area_idx").distinct().count() == 2
     sheet = {r.path.rsplit("/", 1)[1]: (r.width, r.height) for r in load_images(spark, f"{city}/*.png").collect()}
     assert sheet["out-00-callout.png"] == sheet["out-01-callout.png"] == (290, 290) and min(sheet["out.png"]) >= 396
-    (city / "b.osm.pbf").unlink()
     again = render_city(spark, options(city))["atlas"]
+    assert len(list((city / "cache").iterdir())) == 2
     assert again.where("cmd = 'fill_multi' and mode = 'BASE'").count() == 1  # the backdrop was kept
+    os.utime(city / "b.osm.pbf", (1, 1))
+    render_city(spark, options(city))
+    assert len(list((city / "cache").iterdir())) == 4  # another extract of the same name
+    (city / "b.osm.pbf").unlink()
     assert render_city(spark, options(city, "--no-cache"))["atlas"].where("cmd = 'fill_multi'").count() == 0  # areas are drawn all the same
 
 
@@ -153,3 +159,14 @@ def test_png_round_trip_and_atlas():
     assert trimmed(np.zeros((4, 4, 4), np.uint8)).shape == (1, 1, 4)
     sheet = atlas([image, image[:3], image[:2, :2]])
     assert sum((sheet[y : y + 7, x : x + 5] == image).all() for y in range(sheet.shape[0] - 6) for x in range(sheet.shape[1] - 4)) == 1
+
+
+def test_icons_and_rounded_corners():
+    p = lambda *xy: [{"x": float(x), "y": float(y)} for x, y in xy]
+    c = lambda z, cmd, color, points, **more: {"z": z << 32, "cmd": cmd, "color": color, "width": None, "op": "over", "text": None, "points": points} | more
+    image = np.full((4, 5, 4), 255, np.uint8)
+    got = draw([c(5, "icon", None, p((10.4, 1)))], 20, 20, image)[..., 3]
+    assert got[0:3, 7:12].min() == 255 and got.astype(bool).sum() == 15  # the upper row is outside
+    assert draw([c(5, "icon", None, p((10, 10)))], 20, 20)[..., 3].any()
+    box = draw([c(5, "rect_round", 0xFF000000, p((2, 2), (18, 18)), width=4.0)], 20, 20)[..., 3]
+    assert box[2, 2] < 40 and box[2, 10] == 255 and box[10, 2] == 255
