@@ -70,12 +70,12 @@ def _remove_all() -> None:
             return
 
 
-def written(df: DataFrame, name: str, among: list[DataFrame] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, among: list[DataFrame] | None = None, by: list[str] | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends here and survives lost executors. The table is
-    added to ``among``, if given, a list of those that :func:`drop_all` removes."""
+    added to ``among``, if given, a list of those that :func:`drop_all` removes; ``by`` are columns that make its folders."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*(by or [])).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._mapframe_path = path
     if among is not None:
@@ -274,6 +274,15 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(begins), np.flatnonzero(stops) + 1
 
 
+def spaced(flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(bytes, n + 1 starts)`` of words, each followed by one space: words ``a..b`` are ``bytes[at[a] : at[b] - 1]``."""
+    offsets = offsets_of(flat) if len(flat) else np.zeros(1, np.int64)
+    at = offsets + np.arange(len(offsets))
+    data = np.full(int(at[-1]), 32, np.uint8)
+    data[ranges(at[:-1], np.diff(offsets))] = bytes_of(flat)
+    return data, at
+
+
 def group_rows(offsets: np.ndarray) -> np.ndarray:
     """For each item of a ragged array, the number of its row."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))

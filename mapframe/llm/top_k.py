@@ -4,13 +4,16 @@ Vectors are scaled and floored to integers, so scores are exact integers and tie
 reads in pieces of bounded size, becomes a ball tree. For a block of queries the search opens nodes in the order of the
 largest upper bound ``<q, centre> + |q| * radius`` among the queries for which the node can still matter, and a node is
 closed for each query whose current kth score its bound does not reach. The kth scores are shared: a first look at a
-bounded sample gives every query a start, which all tasks begin with, and a task carries them from shard to shard. The
+bounded sample gives every query a start; a first round over a sixteenth of the vectors raises it, and all tasks begin
+the second round, over the others, with what the first one reached; a task carries the scores from shard to shard. A
 start is a score that k candidates reach, so nothing of the answer is lost.
 
-Queries are taken in blocks of ``query_block`` rows against all vectors; what is broadcast and what a task holds is
-bounded by the block, whatever the number of queries.
+Queries are taken in blocks of ``query_block`` rows, and of 64 MB, against all vectors, one block after the other: the
+driver holds one block, and the block's result is written before the next begins. So what is broadcast and what a task
+holds is bounded by the block, whatever the number of queries.
 
-Defined results: vectors that are null, or hold null or non-finite components, and rows without an id take no part.
+Defined results: vectors that are null, or hold components that are null, not finite or not finite once they are scaled,
+and rows without an id take no part.
 Vectors of different lengths are not compared. A query's own row, known by its id, is no candidate. Repeated rows are
 candidates each and queries each, with an answer for each. Scores beyond 64 bits are clamped to the range of a long. An empty table gives no row.
 """
@@ -22,14 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mapframe.llm.common import written
+from mapframe.llm.common import drop_written, fresh_path, written
 
 SCALE = 256
 #: Vectors of a shard at most, queries of a block at most, vectors of the sample that gives the first kth scores.
 SHARD, QUERY_BLOCK, SAMPLE = 32_768, 16_384, 2_048
+#: Bytes of the queries of a block.
+BLOCK_BYTES = 64 << 20
 _LEAF = 256
 _LONG = 2**63 - 1
 
@@ -40,19 +45,21 @@ def integers(column: pa.Array, scale: int) -> tuple[np.ndarray, list[np.ndarray]
     if len(column) and not column.null_count and not column.flatten().null_count:
         lengths = np.diff(np.asarray(column.offsets))
         if (lengths == lengths[0]).all():  # the usual case, without a loop
-            matrix = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), lengths[0])
+            with np.errstate(over="ignore"):
+                matrix = np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), lengths[0]) * scale)
             good = np.isfinite(matrix).all(axis=1)
-            return np.flatnonzero(good), list(np.floor(matrix[good] * scale))
+            return np.flatnonzero(good), list(matrix[good])
     for k, vector in enumerate(column):
         if not vector.is_valid:
             continue
         values = vector.values
         if values.null_count:
             continue
-        x = values.to_numpy(zero_copy_only=False).astype(np.float64)
+        with np.errstate(over="ignore"):
+            x = np.floor(values.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
         if np.isfinite(x).all():
             rows.append(k)
-            out.append(np.floor(x * scale))
+            out.append(x)
     return np.array(rows, np.int64), out
 
 
@@ -159,12 +166,23 @@ def _exact(queries: np.ndarray, points: np.ndarray) -> bool:
 
 
 def _large(ids: np.ndarray, points: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """``(query, score, id)`` by Python integers, for components too large for float64; a query at a time."""
-    whole = [[int(x) for x in p] for p in points]
-    for q, query in enumerate(queries):
-        wide = [int(x) for x in query]
-        scores = ((max(-_LONG - 1, min(_LONG, sum(a * b for a, b in zip(wide, p, strict=True)))), int(i)) for p, i in zip(whole, ids, strict=True) if i != query_ids[q])
-        for score, i in heapq.nsmallest(k, scores, key=lambda x: (-x[0], x[1])):
+    """``(query, score, id)`` of what can be among a shard's ``k`` best, for components too large for float64 to be exact.
+
+    Scores of vectors scaled to 1 choose the candidates, with room for their rounding; Python's integers decide.
+    """
+    power = lambda m: int(np.frexp(np.abs(m).max(initial=1))[1])
+    by_point, by_query = power(points), power(queries)
+    small, room, most = np.ldexp(points, -by_point), 1e-12 * max(1, points.shape[1]), float(np.ldexp(1.0, 63 - by_point - by_query))
+    whole: dict[int, list[int]] = {}
+    for q, query in enumerate(np.ldexp(queries, -by_query)):
+        about = np.where(ids == query_ids[q], -np.inf, np.clip(small @ query, -most, most))
+        kth = np.partition(about, len(about) - k)[len(about) - k] if len(about) > k else -np.inf
+        wide, found = [int(x) for x in queries[q]], []
+        for c in np.flatnonzero((about >= kth - 2 * room) & (ids != query_ids[q])).tolist():
+            if c not in whole:
+                whole[c] = [int(x) for x in points[c]]
+            found.append((max(-_LONG - 1, min(_LONG, sum(a * b for a, b in zip(wide, whole[c], strict=True)))), int(ids[c])))
+        for score, i in heapq.nsmallest(k, found, key=lambda x: (-x[0], x[1])):
             yield q, score, i
 
 
@@ -172,41 +190,77 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = SCALE, query_bl
     """``query_id, rank, vec_id, score`` for the rows of ``vectors(vec_id, embedding)`` where ``is_query`` holds."""
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
-    queries = written(vectors.where(is_query), "top-k-queries")
-    blocks = max(1, -(-queries.count() // query_block))
-    found = None
-    for block in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block) if blocks > 1 else queries
-        own = _search_block(spark, vectors, part, block << 40, k, scale, shard)
-        found = own if found is None else found.unionByName(own)
-    ranked = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "vec_id", "copy"))
-    return found.withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _search_block(spark: SparkSession, vectors: DataFrame, part: DataFrame, number: int, k: int, scale: int, shard: int) -> DataFrame:
-    table = part.toArrow()
-    rows, values = integers(table["embedding"].combine_chunks() if len(table) else pa.array([], pa.list_(pa.float64())), scale)
-    ids = table["vec_id"].to_numpy()[rows].astype(np.int64) if len(table) else np.zeros(0, np.int64)
-    by_length = {}
+    queries = vectors.where(is_query)
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    query_block = min(query_block, max(1, BLOCK_BYTES // (8 * max(1, size.d or 1))))
+    blocks = max(1, -(-size.n // query_block))
+    dealt = written(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "top-k-queries", by=["block"])
+    sample = _vectors(vectors.limit(SAMPLE).toArrow(), scale)
+    out = fresh_path(spark, "top-k")
+    schema = "query_id long, rank int, vec_id long, score long"
+    spark.createDataFrame([], schema).write.parquet(out)
+    for block in range(blocks):  # one block is held at a time
+        held = _starts(_vectors(dealt.where(F.col("block") == block).toArrow(), scale), sample, k)
+        if not held:
+            continue
+        first = written(_searched(vectors.where(_early()), held, k, scale, shard), "top-k-early")
+        best = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id", "copy")
+        reached = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("number", "score").toArrow()
+        held = _raised(held, reached["number"].to_numpy(), reached["score"].to_numpy())
+        found = first.unionByName(_searched(vectors.where(~_early()), held, k, scale, shard))
+        ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        ranked.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(out)
+        drop_written(first)
+    drop_written(dealt)
+    return spark.read.schema(schema).parquet(out)
+
+
+def _early() -> Column:
+    """The sixteenth of the vectors that is searched before the others, to raise the kth scores for all tasks."""
+    return F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(16)) == 0
+
+
+def _vectors(table: pa.Table, scale: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """``(ids, matrix)`` of a bounded table, by the length of its vectors."""
+    if not len(table):
+        return {}
+    rows, values = integers(table["embedding"].combine_chunks(), scale)
+    ids = table["vec_id"].to_numpy()[rows].astype(np.int64)
+    out = {}
     for d in sorted({len(v) for v in values}):
         here = np.array([len(v) == d for v in values])
-        by_length[d] = (ids[here], np.array([v for v in values if len(v) == d]).reshape(int(here.sum()), d), number + np.flatnonzero(here))
-    # The first kth scores: each query against a bounded sample of the vectors.
-    sample = vectors.limit(SAMPLE).toArrow()
-    at, seen = integers(sample["embedding"].combine_chunks() if len(sample) else pa.array([], pa.list_(pa.float64())), scale)
-    seen_ids = sample["vec_id"].to_numpy()[at] if len(at) else np.zeros(0, np.int64)
-    start = {}
-    for d, (query_ids, matrix, numbers) in by_length.items():
-        floor = np.full(len(query_ids), -np.inf)
-        here = np.array([len(v) == d for v in seen], bool)
-        points = np.array([v for v in seen if len(v) == d]).reshape(int(here.sum()), d)
+        out[d] = (ids[here], np.array([v for v in values if len(v) == d]).reshape(int(here.sum()), d))
+    return out
+
+
+def _starts(queries: dict, sample: dict, k: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length ``(ids, matrix, kth scores, numbers)`` of a block's queries, each held against the sample."""
+    out, first = {}, 0
+    for d, (ids, matrix) in queries.items():
+        floor = np.full(len(ids), -np.inf)
+        seen_ids, points = sample.get(d, (None, np.zeros((0, d))))
         if len(points) > k and _exact(matrix, points):
-            best = Best(len(query_ids), k, floor)
-            search(BallTree(points), seen_ids[here], matrix, query_ids, best)
+            best = Best(len(ids), k, floor)
+            search(BallTree(points), seen_ids, matrix, ids, best)
             best.cut()
             floor = best.floor
-        start[d] = (query_ids, matrix, floor, numbers)
-    shared = spark.sparkContext.broadcast(start)
+        out[d] = (ids, matrix, floor, first + np.arange(len(ids)))
+        first += len(ids)
+    return out
+
+
+def _raised(held: dict, numbers: np.ndarray, scores: np.ndarray) -> dict:
+    """``held`` with the kth scores that the first round reached. Beyond 2**53 a float may lie above the score it stands
+    for; then the old one stays."""
+    reached = np.full(1 + max((int(n.max(initial=0)) for *_, n in held.values()), default=0), -np.inf)
+    small = np.abs(scores) < 2**53
+    reached[numbers[small]] = scores[small]
+    return {d: (ids, matrix, np.maximum(floor, reached[n]), n) for d, (ids, matrix, floor, n) in held.items()}
+
+
+def _searched(vectors: DataFrame, held: dict, k: int, scale: int, shard: int) -> DataFrame:
+    """``number, query_id, vec_id, score, copy``: what each task found that can be among the best."""
+    shared = vectors.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

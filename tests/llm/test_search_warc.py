@@ -44,9 +44,10 @@ def test_bounds_save_work():
 def test_top_k_of_odd_rows(spark):
     nan = float("nan")
     rows = [(i, [0.1 * (i % 3), -0.3, 1e9 if i % 7 == 0 else 0.5]) for i in range(60)]
-    rows += [(50, [0.1, 0.2, 0.3]), (None, [1.0, 2.0, 3.0]), (100, None), (150, [nan, 1.0, 2.0]), (200, [None, 1.0, 1.0]), (250, []), (300, []), (350, [1e30, 1.0, 1.0]), (400, [1.0, 2.0])]
+    rows += [(50, [0.1, 0.2, 0.3]), (None, [1.0, 2.0, 3.0]), (100, None), (150, [nan, 1.0, 2.0]), (200, [None, 1.0, 1.0]), (250, []), (300, []), (350, [1e30, 1.0, 1.0]), (400, [1.0, 2.0]), (450, [1e307, 1.0, 1.0])]
+    rows += [(1000 + i, [3e20 * (i % 5), -2e20, 1.0 + i % 2]) for i in range(30)]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
-    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(256 * x) for x in v)]
     want = []
     for i, v in usable:
         if i % 50 == 0:
@@ -55,6 +56,8 @@ def test_top_k_of_odd_rows(spark):
     for settings_ in ({}, {"query_block": 2, "shard": 7}):
         got = top_k.top_k(frame, F.col("vec_id") % 50 == 0, **settings_).collect()
         assert sorted(map(tuple, got)) == sorted(want)
+    long = spark.createDataFrame([(i, [float((i * 7 + k) % 11) for k in range(30_000)]) for i in range(6)], "vec_id long, embedding array<double>")
+    assert top_k.top_k(long, F.col("vec_id") == 0, k=2).select("rank").collect() == [(1,), (2,)]
     assert top_k.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
