@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
+from mapframe.llm.common import bytes_of, offsets_of
+
 # The five primes of XXH64.
 PRIME_1 = 11400714785074694791
 PRIME_2 = 14029467366897019727
@@ -56,6 +59,42 @@ def _same_length(rows: np.ndarray, length: int, seed: int) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+class RangeHashes:
+    """Hashes of any range of a sequence of words, from prefix sums over it.
+
+    The hash of words ``a..b`` is ``sum(h(word_i) * B**(i - a))`` modulo 2**64. Equal words have equal ones; different words
+    may have too (such sequences can be constructed), so whoever uses them verifies.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, words: pa.Array):
+        n = len(words)
+        coded = words.dictionary_encode()
+        distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        at = offsets_of(distinct) if len(distinct) else np.zeros(1, np.int64)
+        with np.errstate(over="ignore"):
+            hashes = xxh64(bytes_of(distinct), at[:-1], np.diff(at), 0)[codes] if n else np.zeros(0, np.uint64)
+            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(self.BASE))]))
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers[:-1], dtype=np.uint64)])
+            self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + 1, np.uint64(pow(self.BASE, -1, 1 << 64)))]))
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sums[b] - self.sums[a]) * self.inverse[a]
+
+    def without(self, a: np.ndarray, p: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The hash of words ``a..b`` but for that at ``p``."""
+        with np.errstate(over="ignore"):
+            return self(a, p) + (self.sums[b] - self.sums[p + 1]) * self.inverse[a] * self.inverse[1]
+
+
+def mixed(x: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (np.asarray(salt).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xD6E8FEB86659FD93)
+        return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def xxh64(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
     """XXH64 of ``data[start : start + length]`` for each pair, as uint64."""
     out = np.zeros(len(starts), np.uint64)

@@ -37,21 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapframe.llm.common import WHITE, blocks, bounded, bytes_of, drop_all, fits, offsets_of, ranges, spare, spread_join, text_of, word_spans, written
-from mapframe.llm.hashing import xxh64
+from mapframe.llm.common import WHITE, blocks, bounded, bytes_of, drop_all, fits, offsets_of, ranges, spaced, spare, spread_join, text_of, word_spans, written
+from mapframe.llm.hashing import RangeHashes, mixed
 
 #: Words of a line from which on it is compared within one edit.
 NEAR_WORDS = 5
 EDITS = 1
 
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-
 
 class Lines:
     """The lines of a block of texts that have at least ``least`` words, with hashes of any range of their words.
 
-    The hash of words ``a..b`` is ``sum(h(word_i) * B**(i - a))`` modulo 2**64, from prefix sums over the block. Different
-    words may have equal ones; only :meth:`digests` identify a line.
+    Hashes of ranges propose partners; only :meth:`digests` identify a line.
     """
 
     def __init__(self, texts: pa.Array, least: int = 1):
@@ -72,36 +69,22 @@ class Lines:
         n = len(start)
         offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
         self.words = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(data[~separator[data]]))
-        coded = self.words.dictionary_encode()
-        distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        at = offsets_of(distinct) if len(distinct) else np.zeros(1, np.int64)
-        with np.errstate(over="ignore"):
-            hashes = xxh64(bytes_of(distinct), at[:-1], np.diff(at), 0)[codes] if n else np.zeros(0, np.uint64)
-            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASES[0])]))
-            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers[:-1], dtype=np.uint64)])
-            self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + 1, np.uint64(pow(int(_BASES[0]), -1, 1 << 64)))]))
+        self.hash = RangeHashes(self.words)
 
     def digests(self) -> np.ndarray:
         """Two longs a line: 128 bits of SHA-256 of its words, each followed by a space."""
-        offsets = offsets_of(self.words) if len(self.words) else np.zeros(1, np.int64)
-        at = offsets + np.arange(len(offsets))
-        spaced = np.full(int(at[-1]), 32, np.uint8)
-        spaced[ranges(at[:-1], np.diff(offsets))] = bytes_of(self.words)
-        raw = memoryview(spaced).cast("B")
+        data, at = spaced(self.words)
+        raw = memoryview(data).cast("B")
         joined = b"".join([hashlib.sha256(raw[a:b]).digest()[:16] for a, b in zip(at[self.first].tolist(), at[self.last].tolist(), strict=True)])
         return np.frombuffer(joined, "<i8").reshape(-1, 2)
 
-    def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (self.sums[b] - self.sums[a]) * self.inverse[a]
-
     def halves(self) -> list[np.ndarray]:
         """Four keys a line: its first and last half, as one of a pair whose longer line has n or n + 1 words."""
         out, n = [], self.last - self.first
         for m in (n, n + 1):
             a = (m - 1) // 2
-            out.append(_mixed(self.hash(self.first, self.first + a), 2 * m))
-            out.append(_mixed(self.hash(self.last - (m - 1 - a), self.last), 2 * m + 1))
+            out.append(mixed(self.hash(self.first, self.first + a), 2 * m))
+            out.append(mixed(self.hash(self.last - (m - 1 - a), self.last), 2 * m + 1))
         return out
 
     def variants(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,15 +93,8 @@ class Lines:
         row = np.repeat(np.arange(len(n)), n + 1)
         place = ranges(np.full(len(n), -1), n + 1)
         a, p, b = self.first[row], self.first[row] + place, self.last[row]
-        with np.errstate(over="ignore"):
-            deleted = self.hash(a, np.maximum(p, a)) + (self.sums[b] - self.sums[np.maximum(p + 1, a)]) * self.inverse[a] * self.inverse[1]
-        return row, place, _mixed(np.where(place < 0, self.hash(a, b), deleted), np.where(place < 0, n[row], n[row] - 1))
-
-
-def _mixed(x: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (salt.astype(np.uint64) * _BASES[1])) * np.uint64(0xD6E8FEB86659FD93)
-        return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        deleted = self.hash.without(a, np.maximum(p, a), b)
+        return row, place, mixed(np.where(place < 0, self.hash(a, b), deleted), np.where(place < 0, n[row], n[row] - 1))
 
 
 def _occurrences(keyed: DataFrame, near: int) -> DataFrame:

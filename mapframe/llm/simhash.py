@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapframe.llm.common import WHITE, blocks, bounded, drop_written, ranges, spare, spread_join, text_of, words, written
+from mapframe.llm.common import WHITE, blocks, bounded, drop_written, ranges, spaced, spare, spread_join, text_of, words, written
 from mapframe.llm.components import components, local_labels
 from mapframe.llm.hashing import xxh64
 
@@ -44,11 +44,7 @@ def shingle_hashes(texts: pa.Array, shingle: int = WORDS) -> tuple[np.ndarray, n
     """``(hashes of the shingles of all texts, how many each text has)``."""
     flat, bounds = words(text_of(texts), WHITE)
     n_words = np.diff(bounds)
-    offsets = np.frombuffer(flat.buffers()[1], np.int32)[: len(flat) + 1].astype(np.int64) if len(flat) else np.zeros(1, np.int64)
-    # Each word followed by one space, so that a shingle is a slice.
-    at = offsets + np.arange(len(offsets))
-    data = np.full(int(at[-1]), 32, np.uint8)
-    data[ranges(at[:-1], np.diff(offsets))] = np.frombuffer(flat.buffers()[2], np.uint8)[: offsets[-1]] if len(flat) else []
+    data, at = spaced(flat)  # a shingle is a slice
     many = np.where(n_words >= shingle, n_words - shingle + 1, np.minimum(n_words, 1))
     first = ranges(bounds[:-1], many)
     last = first + np.repeat(np.minimum(n_words, shingle), many)

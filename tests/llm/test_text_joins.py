@@ -49,20 +49,48 @@ def hits(text, items, size=10):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_bytes", [32 << 20, 40])
-def test_decontamination_of_odd_rows(spark, block_bytes):
+@pytest.mark.parametrize("most", [32 << 20, 0])
+def test_decontamination_of_odd_rows(spark, monkeypatch, most):
+    monkeypatch.setattr("mapframe.llm.decontamination.fits", lambda df: bool(most))
+    monkeypatch.setattr("mapframe.llm.common.LEAST_SPREAD", 512 if most else 4)
+    monkeypatch.setattr("mapframe.llm.decontamination._CHUNK", 2048 if most else 3)
     rng = random.Random(4)
     words = lambda n: " ".join(rng.choice(["a", "B", "c-d", "é", "7"]) for _ in range(n))
     items = [(1, "a b c"), (2, words(25)), (2, words(12)), (10, None), (None, "a b"), (3, "..."), (4, "É é é"), (5, "a b c"), (6, words(9))]
     docs = [(k, words(rng.randint(0, 60)), 0) for k in range(40)] + [(90, None, 0), (91, "", 0), (92, items[1][1] + " x " + items[1][1], 0), (92, items[2][1], 0), (None, "a, b! c", 0)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, n_words int")
-    got = decontamination.contamination(frame, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"], block_bytes=block_bytes)
+    got = decontamination.contamination(frame, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"])
     assert sorted(map(tuple, got.collect()), key=str) == sorted(((d, *hits(t, items)) for d, t, _ in docs), key=str)
     empty = decontamination.contamination(frame, spark.createDataFrame([], "item_id long, text string"), ["doc_id"])
     assert empty.where("contaminated").count() == 0 and empty.count() == len(docs)
     assert decontamination.contamination(frame.limit(0), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).count() == 0
 
 
+def test_decontamination_of_few_words_and_long_texts(spark):
+    """A vocabulary of two words: nearly every place of a text proposes many windows."""
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    items = [(k, say(30)) for k in range(12)] + [(50, "z " * 3000)]
+    docs = [(0, say(6000)), (1, "z " * 20_000 + "é"), (2, "c " * 30_000), (3, say(9))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontamination.contamination(frame, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).collect()
+    places = lambda t, size=10: [" ".join(w) for w in zip(*(t.split()[k:] for k in range(size)))]
+    windows = {w for _, t in items for w in places(t)}
+    for d, t in docs:
+        hit = {k for i, w in enumerate(places(t)) if w in windows for k in range(i, i + 10)}
+        owners = sorted(str(i) for i, x in items if set(places(x)) & set(places(t)))
+        row = next(r for r in got if r.doc_id == d)
+        assert (row.n_words, row.n_hit, row.n_items, row.items_sha256) == (len(t.split()), len(hit), len(owners), hashlib.sha256(",".join(owners).encode()).hexdigest())
+    kept = decontamination.without_contaminated(frame.withColumn("_own_id", F.lit(1)), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.contaminated} == {2, 3} and kept.columns == ["doc_id", "text", "_own_id"]
+
+
+def test_bit_tables_know_their_keys(spark):
+    keys = np.random.default_rng(2).integers(0, 1 << 64, 5000, dtype=np.uint64)
+    table = decontamination.bits_of(spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "h long").repartition(3), 5000)
+    assert table.maybe(keys).all() and table.maybe(np.random.default_rng(3).integers(0, 1 << 64, 50_000, dtype=np.uint64)).mean() < 0.01
+
+
 # --- SimHash
 
 
