@@ -36,11 +36,11 @@ def test_op4(spark):
     made = lm.op4_language_model(spark, DATA).cache()
     assert got_rows(made) == base_rows(rows)
     gain = made.where("held_out").agg((F.sum("score") - F.sum("base_score")) / F.sum("n_tokens"), F.avg((F.col("score") > F.col("base_score")).cast("int"))).first()
-    assert gain[0] > 0.05 and gain[1] > 0.85  # on texts that nothing was learnt from
+    assert gain[0] > 0.1 and gain[1] > 0.9  # on texts that nothing was learnt from
 
 
 def test_language_model_of_odd_rows(spark):
-    long = "x" * 100
+    long = "x" * 100_000
     rows = [(1, "A b b\n c"), (2, None), (3, ""), (None, "b"), (None, "q"), (4, "a b c d e f " * 50), (4, long + " b"), (9, long + " b")] + [(i, f"{long} b w{i % 3}") for i in range(20, 50)]
     frame = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, score int")
     for hot in (1 << 19, 3, 0):
@@ -48,21 +48,46 @@ def test_language_model_of_odd_rows(spark):
     assert lm.score_documents(frame.limit(0), quality.remainder("doc_id", 7) == 2).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
-    tokens = lm.Tokens(pa.array(["a b c", None, "d"]))
-    weights = np.random.default_rng(1).normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
-    assert np.allclose(np.exp(lm.log_softmax(lm.class_logits(weights, tokens.history()))).sum(axis=1), 1, atol=1e-5)
-    assert tokens.codes.tolist() == [0, 1, 2, tokens.end, tokens.end, 3, tokens.end]
+def small_model(texts):
+    """The vocabulary of a few texts, its counts, and random weights."""
+    tokens = lm.Tokens(pa.array(texts))
+    counts = np.bincount(tokens.codes, minlength=tokens.end + 1)
+    tokens_of, types_of = np.bincount(tokens.classes, weights=counts, minlength=lm.CLASSES), np.bincount(tokens.classes, minlength=lm.CLASSES)
+    keys = tokens.keys.to_pylist()
+    chosen = [(k, c) for k, c in enumerate(tokens.classes.tolist()) if counts[k] > 2]
+    slots = [sum(c == d for _, d in chosen[:i]) for i, (_, c) in enumerate(chosen)]
+    known = lm.Vocabulary(tokens_of, types_of, [keys[k] for k, _ in chosen], np.array([c for _, c in chosen]), np.array(slots), counts[[k for k, _ in chosen]])
+    return known, dict(zip(keys, counts.tolist())), np.random.default_rng(1).normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
+
+
+def test_probabilities_of_all_words_sum_to_one():
+    texts = ["a b c a b a", "un deux trois un un deux " * 3, "one of the many of the one " * 4, None, "d"]
+    known, counts, weights = small_model(texts)
+    spelled = sorted({w for t in texts if t for w in t.split()})
+    unknown, k = {}, 0
+    while len(unknown) < lm.CLASSES - 1:  # one word never seen in each class; the end alone is in class 0
+        unknown.setdefault(int(lm.Tokens(pa.array([f"x{k}q"])).classes[0]), f"x{k}q")
+        k += 1
+    for history in ("", "one of ", "trois zz "):
+        tokens = lm.Tokens(pa.array([history + w for w in [*spelled, *unknown.values()]] + [history.strip()]))
+        log, plain = lm.factors(weights, tokens, known)
+        n = np.array([counts.get(x, 0) for x in tokens.keys.to_pylist()])[tokens.codes]
+        p = 10**log * np.where(plain, (n + 1) / known.rest[tokens.classes[tokens.codes]], 1)
+        at = np.append(tokens.offsets[1:-1] - 2, tokens.offsets[-1] - 1)  # the last word of each text; of the last one, its end
+        assert abs(p[at].sum() - 1) < 1e-5
 
 
 def test_descent_lowers_the_loss():
-    tokens = lm.Tokens(pa.array(["un deux trois quatre " * 50, "one two three four " * 50]))
-    weights = np.zeros((lm.ROWS, lm.CLASSES), np.float32)
-    loss = lambda: -lm.log_softmax(lm.class_logits(weights, tokens.history()))[np.arange(len(tokens.codes)), tokens.classes[tokens.codes]].mean()
+    texts = ["un deux trois quatre " * 50, "one two three four " * 50]
+    known, _, weights = small_model(texts)
+    weights = np.zeros_like(weights)
+    weights[lm.BIAS] = known.start
+    tokens = lm.Tokens(pa.array(texts))
+    loss = lambda: -lm.factors(weights, tokens, known)[0].mean()
     before = loss()
     for _ in range(30):
-        lm.descend(weights, np.zeros(lm.ROWS), np.full(lm.ROWS, 0.05), tokens, 0.25)
-    assert loss() < before / 2
+        lm.descend(weights, np.zeros(lm.ROWS), np.full(lm.ROWS, 0.05), tokens, known, 0.25)
+    assert loss() < before / 3
 
 
 # --- quality
