@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from mapframe.llm import decontamination, language_model, line_dedup, pii, quality, simhash, top_k, warc
 from mapframe.llm.packing import op2_packing
 from mapframe.llm.token_files import op8_token_files
@@ -22,7 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_simhash": simhash.op9_simhash,
     "op10_line_dedup": line_dedup.op10_line_dedup,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_top_k": top_k.ORACLE_SQL,
@@ -30,5 +28,3 @@ ORACLE_SQL: dict[str, str] = {
     "op6_warc": warc.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
