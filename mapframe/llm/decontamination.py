@@ -38,6 +38,8 @@ COLUMNS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 WINDOW, SHINGLE = 10, 5
 #: Bits of the table of shingles: at least, for each shingle, at most; bits of one slice of it.
 LEAST_BITS, BITS_EACH, MOST_BITS, SLICE = 1 << 16, 64, 1 << 28, 1 << 16
+#: Bytes of text whose shingles a worker holds at once.
+BLOCK_BYTES = 512 << 10
 #: Candidates in one row of the second pass.
 _CHUNK = 2048
 _NONE = hashlib.sha256(b"").hexdigest()
@@ -138,7 +140,7 @@ def corpus_counts(docs: DataFrame, known: Bits, sizes: list[int]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, most=BLOCK_BYTES):
             found = Shingles(block.column("text"))
             for size in sizes:
                 _, keys = found.all(size)
@@ -159,7 +161,7 @@ def _proposed(docs: DataFrame, key: list[str], prefixes: Bits, sizes: list[int],
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 40
-        for block in blocks(batches):
+        for block in blocks(batches, most=BLOCK_BYTES):
             found = Shingles(block.column("text"))
             first, keys, size = [], [], []
             for s in sizes:
