@@ -25,14 +25,14 @@ _MOST = 600_000
 #: Bytes of text encoded together: the known chunks are indexed anew for each block, so a block is worth that.
 BLOCK_BYTES = 4 << 20
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file; it is loaded once a process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, most: int | None = None) -> Encoder:
+    """The worker's encoder for a vocabulary file, loaded once a process; ``most``: the chunks it remembers."""
+    if (path, most) not in _encoders:
+        _encoders[path, most] = Encoder(path, most)
+    return _encoders[path, most]
 
 
 def vocabulary_size(path: str) -> int:
@@ -40,12 +40,13 @@ def vocabulary_size(path: str) -> int:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
@@ -68,7 +69,7 @@ class Encoder:
     def _thin(self) -> None:
         """Forget the chunks that only one block had, and if that is not half of all, the less used ones too."""
         uses = self.uses[: len(self.known)]
-        keep = np.flatnonzero(uses > max(1, int(np.median(uses))))[: _MOST // 2] if len(uses) else np.zeros(0, np.int64)
+        keep = np.flatnonzero(uses > max(1, int(np.median(uses))))[: (self.most or _MOST) // 2] if len(uses) else np.zeros(0, np.int64)
         known, pool, at, length = self.known, self.pool, self.at[keep], self.length[keep]
         self._forget()
         if len(keep):
@@ -145,7 +146,7 @@ class Encoder:
         bounds, flat = offsets_of(lists), lists.flatten()
         coded = flat.dictionary_encode()
         codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-        if len(self.known) + len(distinct) > _MOST:
+        if len(self.known) + len(distinct) > (self.most or _MOST):
             self._thin()
         if self.byte_level:  # the first chunk of a text has no space before it, the others do; an empty text has no ids
             firsts = np.zeros(len(flat), bool)

@@ -103,11 +103,12 @@ class Packer:
             yield window
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, block_bytes: int = BLOCK_BYTES, chunks: int | None = None) -> DataFrame:
     """One row a piece: where it comes from (``doc_id``, ``start``, ``length``) and goes (``sequence_id``, ``offset``).
 
     ``window`` is the size of the sequence; ``step_group`` numbers groups of windows of one size with ``step_tokens``
-    tokens together. ``sequence_id`` and ``step_group`` start with the task's partition, so they are unique.
+    tokens together. ``sequence_id`` and ``step_group`` start with the task's partition, so they are unique. A worker's memory
+    follows the ``block_bytes`` of text that it encodes together and the distinct ``chunks`` of text that it remembers.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +143,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[in
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names)
 
-        for block in blocks(batches, most=BLOCK_BYTES):
-            ids, offsets = encoder(tokenizer).encode(block.column("text"))
+        for block in blocks(batches, most=block_bytes):
+            ids, offsets = encoder(tokenizer, chunks).encode(block.column("text"))
             found: list[tuple] = []
             for doc_id, a, b in zip(block.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
