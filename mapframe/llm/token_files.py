@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from mapframe.llm.common import blocks, filesystem, fresh_path
 from mapframe.llm.encoding import BLOCK_BYTES, encoder, vocabulary_size
 
+#: Bytes of text of a part, about, at most.
+PART_BYTES = 256 << 20
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -37,9 +39,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int
 
     One range shuffle orders the texts by id, then each task encodes and writes its own part, so no task needs another's
     ids. A task writes to a name of its attempt and renames at its end: a task that runs again leaves one whole file.
+    The number of parts, if not given, is the session's number of shuffle partitions, or more: a part has about
+    :data:`PART_BYTES` of text at most, whatever the input.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     dtype = "<u2" if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +136,7 @@ def read_token_files(spark: SparkSession, out_dir: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.asarray(doc[k : k + 5000]), pa.int64(), mask=np.asarray(null[k : k + 5000]).astype(bool)), pa.array(base + at[:-1]), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = [(p["part"], p["base"]) for p in manifest["parts"]]
-    listed = spark.createDataFrame(rows, "part long, base long").repartition(max(1, len(rows)), "part")
+    listed = spark.createDataFrame(rows, "part long, base long").repartitionByRange(max(1, len(rows)), "part")
     return listed.mapInArrow(read, READ_SCHEMA)
 
 
