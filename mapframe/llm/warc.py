@@ -181,7 +181,7 @@ def normalise_archives(spark: SparkSession, out_dir: str, parts: list[int], keep
 
 
 def _listed(spark: SparkSession, parts: list[int]) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in parts], "part long").repartition(max(1, len(parts)), "part")
+    return spark.createDataFrame([(p,) for p in parts], "part long").repartitionByRange(max(1, len(parts)), "part")
 
 
 def read_archives(spark: SparkSession, out_dir: str, parts: list[int]) -> DataFrame:
