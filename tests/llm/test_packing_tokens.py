@@ -91,6 +91,12 @@ def test_packing_of_odd_rows(spark):
     assert sum(r.length for r in pack_documents(repeated, BYTE, 1).collect()) == 2 * 3 + 2 * 2
 
 
+def test_packing_in_small_blocks(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    made = pack_documents(spark.read.parquet(f"{DATA}/documents.parquet"), BYTE, 1, block_bytes=64 << 10, chunks=5_000)
+    check_packed(made.collect(), dict(expected(rows, BYTE, 1)))
+
+
 @given(st.lists(st.integers(1, 6000), max_size=60))
 def test_packer_loses_nothing(lengths):
     packer, windows = Packer(), []
@@ -138,3 +144,15 @@ def test_token_files_of_odd_rows(spark):
     assert write_token_files(frame.limit(0), WORD, out, 2)["parts"] == [] and read_token_files(spark, out).count() == 0
     out = fresh_path(spark, "t")
     assert write_token_files(frame, BYTE, out, 70_000)["dtype"] == "<u4"
+
+
+def test_parts_of_token_files_follow_the_bytes(spark, monkeypatch):
+    from mapframe.llm import token_files
+
+    monkeypatch.setattr(token_files, "PART_BYTES", 50)
+    frame = spark.createDataFrame([(k, "ten bytes!") for k in range(100)], "doc_id long, text string")
+    out = fresh_path(spark, "t")
+    parts = write_token_files(frame, WORD, out, 2)["parts"]
+    assert 10 < len(parts) <= 20 and sum(p["docs"] for p in parts) == 100
+    read = read_token_files(spark, out)
+    assert sorted(r.doc_id for r in read.collect()) == list(range(100)) and read.rdd.getNumPartitions() == len(parts)
