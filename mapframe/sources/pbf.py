@@ -106,14 +106,28 @@ class Block:
         self.lat, self.lon = (wire.int64(wire.last(found, n, 0)) for n in (19, 20))
         self.strict = strict
 
-    def tags(self, found: dict[int, list], unique: bool) -> list[tuple[str, str]]:
-        keys, values = wire.unsigned(found.get(2, [])).tolist(), wire.unsigned(found.get(3, [])).tolist()
-        if unique and self.strict and len(keys) != len(values):
+    def tags(self, found: wire.Fields, unique: bool) -> pa.Array:
+        """The tags of each message; of a key that repeats, the last value counts."""
+        (keys, many), (values, others) = wire.repeated(found, 2), wire.repeated(found, 3)
+        if unique and self.strict and (many != others).any():
             raise ValueError("a way has keys without values")
-        out = {self.strings[k]: self.strings[v] for k, v in zip(keys, values, strict=False)}
-        if unique and self.strict and len(out) != len(keys):
-            raise ValueError("a tag key repeats within a way")
-        return list(out.items())
+        keys, values, many = paired(keys, many, values, others)
+        first = {s: k for k, s in reversed(list(enumerate(self.strings)))}
+        same = np.array([first[s] for s in self.strings], np.int64)
+        if len(keys) and max(keys.max(), values.max()) >= len(self.strings):
+            raise ValueError("a tag is not in the table of strings")
+        keys, row = same[keys.astype(np.int64)], np.repeat(np.arange(len(many)), many)
+        pair = row * len(self.strings) + keys
+        known, at = np.unique(pair, return_index=True)
+        if len(known) != len(pair):
+            if unique and self.strict:
+                raise ValueError("a tag key repeats within a way")
+            _, behind = np.unique(pair[::-1], return_index=True)
+            order = np.argsort(at)
+            at, latest = at[order], len(pair) - 1 - behind[order]
+            keys, values, many = keys[at], values[latest], np.bincount(row[at], minlength=len(many))
+        strings = pa.array(self.strings, pa.string())
+        return pa.MapArray.from_arrays(ends(many), strings.take(pa.array(keys)), strings.take(pa.array(values)))
 
     def nodes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(ids, latitudes, longitudes)`` in nanodegrees, of dense and of single nodes."""
@@ -131,19 +145,35 @@ class Block:
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return join(ids).astype(np.int64), self.lat + self.step * join(lats), self.lon + self.step * join(lons)
 
-    def ways(self) -> Iterator[tuple[int, list[tuple[str, str]], np.ndarray]]:
-        for group in self.groups:
-            for one in group.get(3, []):
-                way = wire.fields(one)
-                yield wire.int64(wire.last(way, 1, 0)), self.tags(way, True), wire.running(way.get(8, []))
+    def messages(self, number: int) -> wire.Fields:
+        return wire.scan([one for group in self.groups for one in group.get(number, [])])
 
-    def relations(self) -> Iterator[tuple[int, list[tuple[str, str]], list[dict]]]:
-        for group in self.groups:
-            for one in group.get(4, []):
-                relation = wire.fields(one)
-                types, refs = wire.unsigned(relation.get(10, [])).tolist(), wire.running(relation.get(9, [])).tolist()
-                members = [{"pos": k, "type": _MEMBERS[t], "ref": r} for k, (t, r) in enumerate(zip(types, refs, strict=False))]
-                yield wire.int64(wire.last(relation, 1, 0)), self.tags(relation, False), members
+    def ways(self) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """``(ids, tags, references)``."""
+        found = self.messages(3)
+        refs, many = wire.repeated(found, 8)
+        return wire.single(found, 1), self.tags(found, True), pa.ListArray.from_arrays(ends(many), pa.array(wire.running_each(refs, many)))
+
+    def relations(self) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """``(ids, tags, members)``."""
+        found = self.messages(4)
+        (types, many), (refs, others) = wire.repeated(found, 10), wire.repeated(found, 9)
+        types, refs, many = paired(types, many, wire.running_each(refs, others), others)
+        place = np.arange(len(types)) - np.repeat(np.cumsum(many) - many, many)
+        member = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(_MEMBERS).take(pa.array(types)), pa.array(refs)], ["pos", "type", "ref"])
+        return wire.single(found, 1), self.tags(found, False), pa.ListArray.from_arrays(ends(many), member)
+
+
+def ends(many: np.ndarray) -> pa.Array:
+    """Offsets of lists of these lengths."""
+    return pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32())
+
+
+def paired(a: np.ndarray, many: np.ndarray, b: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two columns of lists, each list cut to the shorter of both: ``(a, b, lengths)``."""
+    least = np.minimum(many, others)
+    inner = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) < np.repeat(least, n)
+    return a[inner(many)], b[inner(others)], least
 
 
 class Blobs(InputPartition):
@@ -207,10 +237,9 @@ class PbfReader(DataSourceReader):
                 keep &= (columns[name] >= low) & (columns[name] <= high)
             numbers = [order[keep], *(c[keep] for c in columns.values())]
             return pa.RecordBatch.from_arrays([pa.array([path] * len(numbers[0]), pa.string()), *map(pa.array, numbers)], schema=schema)
-        rows = list(block.ways() if self.entity == "ways" else block.relations())
-        ids, tags, third = zip(*rows, strict=True) if rows else ((), (), ())
-        columns = [pa.array([path] * len(ids), pa.string()), pa.array(first + np.arange(len(ids)), pa.int64()), pa.array(ids, pa.int64())]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(tags, schema.field(3).type), pa.array(third, schema.field(4).type)], schema=schema)
+        ids, tags, third = block.ways() if self.entity == "ways" else block.relations()
+        numbers = [pa.array([path] * len(ids), pa.string()), pa.array(first + np.arange(len(ids)), pa.int64()), pa.array(ids)]
+        return pa.RecordBatch.from_arrays([*numbers, tags.cast(schema.field(3).type), third.cast(schema.field(4).type)], schema=schema)
 
 
 class PushingReader(PbfReader):

@@ -38,6 +38,30 @@ def test_cut_off_numbers():
         wire.fields(w.varint(1 << 3 | 2) + w.varint(9) + b"x")
 
 
+_messages = st.lists(st.lists(st.tuples(st.sampled_from([1, 2, 8]), st.lists(st.integers(-(1 << 40), 1 << 40), max_size=4), st.booleans()), max_size=5), max_size=6)
+
+
+@given(_messages)
+def test_many_messages_at_once(messages):
+    """Packed and plain numbers, empty fields and empty messages are those that each message holds by itself."""
+    coded = [b"".join(w.blob(n, b"".join(w.varint(w.zig(x)) for x in xs)) if packed else b"".join(w.num(n, w.zig(x)) for x in xs) for n, xs, packed in m) for m in messages]
+    found, alone = wire.scan(coded), [wire.fields(c) for c in coded]
+    assert [int(n) for n in wire.single(found, 1)] == [next((wire.int64(x) for x in reversed(a.get(1, [])) if isinstance(x, int)), 0) for a in alone]
+    for number in (1, 2, 8):
+        values, many = wire.repeated(found, number)
+        each = [wire.unsigned(a.get(number, [])) for a in alone]
+        assert many.tolist() == [len(x) for x in each] and values.tolist() == [int(v) for x in each for v in x]
+        assert wire.running_each(values, many).tolist() == [int(v) for a in alone for v in wire.running(a.get(number, []))]
+
+
+@pytest.mark.parametrize("broken", [b"\x80", w.varint(1 << 3 | 2) + w.varint(9) + b"x", w.varint(1 << 3 | 3), w.varint(1 << 3 | 1) + b"1234567", w.varint(8) + b"\x80" * 11])
+def test_broken_messages(broken):
+    with pytest.raises(ValueError):
+        wire.scan([b"", w.num(1, 5), broken])
+    with pytest.raises(ValueError, match="cut off"):
+        wire.repeated(wire.scan([w.blob(2, b"\x01"), w.blob(2, b"\x01\x80"), w.blob(2, b"\x01")]), 2)
+
+
 @pytest.fixture
 def city(tmp_path):
     nodes = [(10, 100, -200), (7, -5, 30), (BIG, 1, 1)]
@@ -96,6 +120,19 @@ def test_repeated_tag_key(spark, tmp_path):
     assert read_pbf(spark, path, "ways", strict=False).first().tags == {"a": "2"}
 
 
+def test_tags_that_do_not_pair(spark, tmp_path):
+    """A key without a value is an error, or else left out; of a key that repeats in a relation the last value counts."""
+    strings = w.blob(1, b"".join(w.blob(1, x) for x in (b"", b"a", b"1", b"2", b"a")))
+    way = w.num(1, 7) + w.packed(2, [1, 2]) + w.packed(3, [3])
+    relation = w.num(1, 8) + w.packed(2, [1, 2, 4]) + w.packed(3, [2, 3, 3]) + w.packed(9, [5, 5], True) + w.packed(10, [1])
+    path = w.write(tmp_path / "p.osm.pbf", w.frame("OSMData", strings + w.blob(2, w.blob(3, way) + w.blob(3, w.num(1, 9)) + w.blob(4, relation))))
+    with pytest.raises(Exception, match="keys without values"):
+        read_pbf(spark, path, "ways").collect()
+    assert [(r.way_id, r.tags, r.refs) for r in read_pbf(spark, path, "ways", strict=False).orderBy("way_id").collect()] == [(7, {"a": "2"}, []), (9, {}, [])]
+    found = read_pbf(spark, path, "relations").first()
+    assert (found.rel_id, found.tags, [tuple(m) for m in found.members]) == (8, {"a": "2", "1": "2"}, [(0, "WAY", 5)])
+
+
 def test_covering_files(spark, tmp_path):
     deg = lambda *b: tuple(int(x * 1e9) for x in b)
     w.write(tmp_path / "b.osm.pbf", w.frame("OSMHeader", w.header(deg(0, 10, 10, 0))))
