@@ -59,21 +59,40 @@ def assemble_paths(refs: DataFrame, nodes: DataFrame, strict: bool = True) -> Da
 def overlay_relations(ways: DataFrame, relations: DataFrame) -> DataFrame:
     """``ways`` with the tags of the relations that have them as members, the later ones over the earlier and all over
     the ways' own. Only way members count, and only relations of the same file."""
-    entries = F.explode(F.map_entries("tags")).alias("e")
-    own = ways.select("path", "way_id", F.lit(-1).cast("long").alias("ord"), entries)
     member = relations.select("path", "file_ordinal", "tags", F.explode("members").alias("m")).where(F.col("m.type") == "WAY")
     member = member.select("path", F.col("m.ref").alias("way_id"), F.col("file_ordinal").alias("ord"), "tags")
-    lent = member.join(ways.select("path", "way_id").distinct(), ["path", "way_id"], "left_semi").select("path", "way_id", "ord", entries)
-    merged = own.unionByName(lent).groupBy("path", "way_id", F.col("e.key").alias("key")).agg(F.max_by("e.value", "ord").alias("value"))
-    maps = merged.groupBy("path", "way_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("merged"))
-    return ways.join(maps, ["path", "way_id"], "left").withColumn("tags", F.coalesce("merged", "tags")).drop("merged")
+    lent = member.join(ways.select("path", "way_id"), ["path", "way_id"], "left_semi").select("path", "way_id", "ord", F.explode(F.map_entries("tags")).alias("e"))
+    latest = lent.groupBy("path", "way_id", F.col("e.key").alias("key")).agg(F.max_by("e.value", "ord").alias("value"))
+    maps = latest.groupBy("path", "way_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("lent"))
+    own = F.map_filter("tags", lambda k, _: ~F.map_contains_key("lent", k))
+    return ways.join(maps, ["path", "way_id"], "left").withColumn("tags", F.coalesce(F.map_concat(own, F.col("lent")), "lent", "tags")).drop("lent")
 
 
-def ways_in_rect(nodes: DataFrame, ways: DataFrame, relations: DataFrame | None, box: Box, where: Predicate | None = None, strict: bool = True) -> DataFrame:
-    """``path, way_id, tags, points`` of the ways that satisfy ``where`` and have a vertex in the box."""
+#: References whose nodes are picked by a broadcast of their ids.
+MOST_REFS = 200_000
+
+
+def nodes_of(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` without those that no reference names, if the references are counted to be few: such nodes then never
+    leave the task that reads them. Otherwise all ``nodes``, which the join shuffles."""
+    if refs.limit(MOST_REFS + 1).count() > MOST_REFS:
+        return nodes
+    return nodes.join(F.broadcast(refs.select("path", "node_id").distinct()), ["path", "node_id"], "left_semi")
+
+
+def ways_in_rect(nodes: DataFrame, ways: DataFrame, relations: DataFrame | None, box: Box, where: Predicate | None = None, strict: bool = True, inside: DataFrame | None = None, held: list[DataFrame] | None = None) -> DataFrame:
+    """``path, way_id, tags, points`` of the ways that satisfy ``where`` and have a vertex in the box.
+
+    ``inside`` are the nodes to look for the box in, where a source can read those apart from the rest. With a list
+    ``held`` the chosen ways are kept in the session's cache and added to it, for the caller to let them
+    go once the result is used, and nodes are reduced by :func:`nodes_of`; without one nothing runs or stays.
+    """
+    keep = (lambda df: held.append(df.persist()) or df) if held is not None else (lambda df: df)
     wanted = matching(ways, where)
-    hit = ways_touching(way_refs(wanted), nodes, box)
-    kept = last_wins(wanted.join(hit, ["path", "way_id"], "left_semi"), ["path", "way_id"])
-    paths = assemble_paths(way_refs(kept), nodes, strict)
-    out = kept.select("path", "way_id", "tags").join(paths, ["path", "way_id"])
-    return overlay_relations(out, relations) if relations is not None else out
+    hit = ways_touching(way_refs(wanted), nodes if inside is None else inside, box)
+    kept = keep(last_wins(wanted.join(hit, ["path", "way_id"], "left_semi"), ["path", "way_id"]))
+    refs = way_refs(kept)
+    paths = assemble_paths(refs, nodes if held is None else nodes_of(refs, nodes), strict)
+    out = kept.select("path", "way_id", "tags")
+    out = out if relations is None else overlay_relations(out, relations)
+    return out.join(paths, ["path", "way_id"])

@@ -22,9 +22,10 @@ from mapframe.sources.pbf import open_path, read_pbf
 log = logging.getLogger("mapframe")
 
 
-def ways_of_file(spark: SparkSession, path: str, box: Box, strict: bool = True) -> DataFrame:
+def ways_of_file(spark: SparkSession, path: str, box: Box, strict: bool = True, held: list[DataFrame] | None = None) -> DataFrame:
     nodes, ways, relations = (read_pbf(spark, path, e, strict=strict) for e in ("nodes", "ways", "relations"))
-    return ways_in_rect(nodes, ways, relations, box, render_filter, strict)
+    inside = read_pbf(spark, path, "nodes", box=",".join(map(str, box.nano)))
+    return ways_in_rect(nodes, ways, relations, box, render_filter, strict, inside, held)
 
 
 def first_with_rows(spark: SparkSession, files: list[str], options: RunOptions, box: Box) -> DataFrame | None:
@@ -33,8 +34,11 @@ def first_with_rows(spark: SparkSession, files: list[str], options: RunOptions,
         if options.dummy_run:
             return _no_ways(spark)
         log.info("looking for ways in %s", path)
-        found = ways_of_file(spark, path, box, options.strict).persist()
+        held: list[DataFrame] = []
+        found = ways_of_file(spark, path, box, options.strict, held).persist()
         count = found.count()
+        for part in held:
+            part.unpersist()
         log.info("%d ways", count)
         if count:
             return found

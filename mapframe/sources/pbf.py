@@ -7,8 +7,11 @@ partition is a run of blobs of about ``partition_bytes``; a task decodes a blob
 column pruning does not reach a Python source, each entity decodes its own fields only.
 
 Options: ``strict`` (default true: a tag key that repeats within a way is an error; otherwise the last value counts),
-``fixed_granularity`` (coordinates in steps of 100 nanodegrees whatever the block says), ``push_filters`` (only where the session allows it:
-ranges of ids and coordinates are tested while decoding; :func:`read_pbf` sets it).
+``fixed_granularity`` (coordinates in steps of 100 nanodegrees whatever the block says), ``box`` (nodes only: least latitude
+and longitude and largest, in nanodegrees with commas between them; other nodes are left out while decoding).
+
+The source takes no filters from Spark: what one scan of a DataFrame pushes down to a Python source also holds for the other
+scans of the same DataFrame, and the rectangle query reads its nodes both with and without a box.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from mapframe.schema import ENTITIES
@@ -190,8 +193,10 @@ class PbfReader(DataSourceReader):
         self.bytes = int(options.get("partition_bytes", 32 << 20))
         self.strict = options.get("strict", "true").lower() == "true"
         self.fixed = options.get("fixed_granularity", "false").lower() == "true"
-        self.columns = [f.name for f in schema.fields]
-        self.bounds: dict[str, tuple[int, int]] = {}
+        corners = [int(n) for n in options.get("box", "").split(",") if n]
+        if corners and (len(corners) != 4 or self.entity != "nodes"):
+            raise ValueError("box is four numbers, and for nodes")
+        self.bounds = {"lat_nano": corners[::2], "lon_nano": corners[1::2]} if corners else {}
 
     def partitions(self) -> list[Blobs]:
         out = []
@@ -242,20 +247,6 @@ class PbfReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([*numbers, tags.cast(schema.field(3).type), third.cast(schema.field(4).type)], schema=schema)
 
 
-class PushingReader(PbfReader):
-    """The reader for sessions with ``spark.sql.python.filterPushdown.enabled``; Spark refuses it in others."""
-
-    def pushFilters(self, filters):
-        """Ranges of ids and coordinates are tested as soon as a block is decoded."""
-        for f in filters:
-            name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
-            if self.entity == "nodes" and name in ("node_id", "lat_nano", "lon_nano") and isinstance(f, (GreaterThanOrEqual, LessThanOrEqual)):
-                low, high = self.bounds.get(name, (-(1 << 63), (1 << 63) - 1))
-                self.bounds[name] = (max(low, f.value), high) if isinstance(f, GreaterThanOrEqual) else (low, min(high, f.value))
-            else:
-                yield f
-
-
 def _arrow(entity: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -274,8 +265,7 @@ class PbfDataSource(DataSource):
         return ENTITIES[entity]
 
     def reader(self, schema: StructType) -> PbfReader:
-        options = dict(self.options)
-        return (PushingReader if options.get("push_filters") == "true" else PbfReader)(options, schema)
+        return PbfReader(dict(self.options), schema)
 
 
 def read_pbf(spark: SparkSession, paths: str | list[str], entity: str, **options) -> DataFrame:
@@ -283,7 +273,6 @@ def read_pbf(spark: SparkSession, paths: str | list[str], entity: str, **options
     spark.dataSource.register(PbfDataSource)
     paths = [paths] if isinstance(paths, str) else paths
     reader = spark.read.format("osmpbf").option("entity", entity).option("paths", ",".join(paths))
-    reader = reader.option("push_filters", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     for key, value in options.items():
         reader = reader.option(key, str(value).lower() if isinstance(value, bool) else str(value))
     return reader.load()

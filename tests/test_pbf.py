@@ -87,12 +87,20 @@ def test_partitions_and_fixed_granularity(spark, city):
     assert read_pbf(spark, city, "nodes", fixed_granularity=True).where("node_id = 11").first().lat_nano == 207
 
 
-def test_range_pushdown(spark, city):
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+@pytest.mark.parametrize("pushdown", ["true", "false"])
+def test_nodes_of_a_box(spark, city, pushdown):
+    """The option leaves nodes out; a filter on one scan leaves the other scans of the same table whole."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", pushdown)
     try:
-        assert {r.node_id for r in read_pbf(spark, city, "nodes").where("lat_nano >= 0 and lat_nano <= 10000 and lon_nano >= 0").collect()} == {BIG, 11}
+        inside = "lat_nano >= 0 and lat_nano <= 10000 and lon_nano >= 0"
+        nodes = read_pbf(spark, city, "nodes")
+        cut = nodes.where(inside)
+        assert {r.node_id for r in cut.collect()} == {r.node_id for r in read_pbf(spark, city, "nodes", box="0,0,10000,90000").collect()} == {BIG, 11}
+        assert nodes.count() == 5 and nodes.union(cut).count() == 7
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    with pytest.raises(Exception, match="four numbers"):
+        read_pbf(spark, city, "ways", box="0,0,1,1").collect()
 
 
 def test_broken_files(spark, tmp_path):

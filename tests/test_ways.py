@@ -37,12 +37,12 @@ def plain(nodes, ways, relations, box, where):
     return out
 
 
-def run(spark, nodes, ways, relations, where=None, strict=True):
-    found = W.ways_in_rect(*tables(spark, nodes, ways, relations), BOX, where, strict)
+def run(spark, nodes, ways, relations, where=None, strict=True, held=None):
+    found = W.ways_in_rect(*tables(spark, nodes, ways, relations), BOX, where, strict, held=held)
     return {(r.path, r.way_id): (r.tags, [(p.x, p.y) for p in r.points]) for r in found.collect()}
 
 
-def test_random_data(spark):
+def test_random_data(spark, monkeypatch):
     rng = random.Random(3)
     nodes = [(p, i, rng.randint(-8, 18), rng.randint(-8, 18)) for p in "ab" for i in range(60)]
     tags = lambda: {k: v for k, v in (("bridge", "no"), ("natural", rng.choice(["water", "wood", "coastline"])), ("name", str(rng.randint(0, 5)))) if rng.random() < 0.5}
@@ -50,6 +50,11 @@ def test_random_data(spark):
     relations = [(p, i, tags(), [(rng.choice(["NODE", "WAY", "RELATION"]), rng.randrange(80)) for _ in range(4)]) for p in "ab" for i in range(30)]
     keep = lambda t: "bridge" in t or t.get("natural") in ("water", "coastline")
     got, want = run(spark, nodes, ways, relations, render_filter), plain(nodes, ways, relations, BOX, keep)
+    for most in (W.MOST_REFS, 3):
+        held = []
+        monkeypatch.setattr(W, "MOST_REFS", most)
+        assert run(spark, nodes, ways, relations, render_filter, held=held) == got and len(held) == 1
+        held[0].unpersist()
     assert got.keys() == want.keys() and len(got) > 5
     for k, (t, points) in want.items():
         assert got[k][0] == t and sum(got[k][1], ()) == pytest.approx(sum(points, ()))
