@@ -28,8 +28,9 @@ def _star(links: DataFrame, both: bool, total: int) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``links(u, v)`` (long) to ``(node, root)``, root being the smallest node reached; only linked nodes have a row."""
+def components(links: DataFrame, among: list[DataFrame] | None = None) -> DataFrame:
+    """``links(u, v)`` (long) to ``(node, root)``, root being the smallest node reached; only linked nodes have a row. The
+    table that the result reads is added to ``among``, if given."""
     links = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before, total = None, links.count()
     while True:
@@ -39,6 +40,8 @@ def components(links: DataFrame) -> DataFrame:
         drop_written(larger)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
+            if among is not None:
+                among.append(links)
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before, total = state, state[0]
 

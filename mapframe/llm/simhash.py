@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapframe.llm.common import WHITE, blocks, bounded, drop_written, ranges, spaced, spare, spread_join, text_of, words, written
+from mapframe.llm.common import WHITE, blocks, bounded, drop_all, drop_written, ranges, spaced, spare, spread_join, text_of, words, written
 from mapframe.llm.components import components, local_labels
 from mapframe.llm.hashing import xxh64
 
@@ -221,13 +221,18 @@ def _one_by_one(fp: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndar
 def linked(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """The :func:`fingerprints` of ``docs``, written, and ``fp, first, n, root``, written: smallest id, rows and component."""
     rows = written(fingerprints(docs, shingle), "fingerprints")
-    return rows, _rooted(rows, lambda fps: links(fps.select("fp"), fps.count(), radius, group))
+    return rows, _rooted(rows, lambda fps, _: links(fps.select("fp"), fps.count(), radius, group))
 
 
-def _rooted(rows: DataFrame, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
-    named = components(found(fps)).withColumnRenamed("node", "fp")
-    return written(fps.join(named, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "rooted-fingerprints")
+def _rooted(rows: DataFrame, found: Callable[[DataFrame, list[DataFrame]], DataFrame]) -> DataFrame:
+    """``fp, first, n, root``, written. ``found`` gives the links of the distinct ``fp``; the tables that it writes on the
+    way go to its second argument and are removed, like those made here."""
+    scratch: list[DataFrame] = []
+    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints", scratch)
+    named = components(found(fps, scratch), scratch).withColumnRenamed("node", "fp")
+    rooted = written(fps.join(named, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "rooted-fingerprints")
+    drop_all(scratch)
+    return rooted
 
 
 def near_duplicates(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
@@ -241,12 +246,15 @@ def near_duplicates(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS,
 def one_of_each(docs: DataFrame, shingle: int = WORDS, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (a null id last), of those that of the smallest
     hash of its text, and of rows equal in both any one."""
-    return first_of_each(docs, *linked(docs, shingle, radius, group))
+    rows, rooted = linked(docs, shingle, radius, group)
+    out = first_of_each(docs, rows, rooted)
+    drop_all([rows, rooted])
+    return out
 
 
 def first_of_each(docs: DataFrame, rows: DataFrame, rooted: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`one_of_each` keeps, by ``rows(doc_id, t, fp)`` and ``rooted(fp, n, root)``. Only the
-    keys of what goes are joined to the texts."""
+    keys of what goes are joined to the texts; the result reads neither ``rows`` nor ``rooted``."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")
     total = rows.count()
     keyed = spread_join(rows, rooted.select("fp", "root"), ["fp"], rooted.select("fp", "n"), total, ["doc_id", "t"]).select("root", order.alias("o"))

@@ -131,6 +131,8 @@ def test_simhash_of_odd_rows(spark, group):
     base = [rng.choice("abcdefghij") * 3 for _ in range(400)]
     rows = [(i, " ".join(x if rng.random() > 0.003 else "zz" for x in base)) for i in range(300)]
     rows += [(i, f"w{i // 2} x y z q") for i in range(300, 340)] + [(None, "p q"), (None, "p q"), (7, None), (8, ""), (9, " \t\n"), (7, "a b c d e"), (5, "É x 日本"), (5, "É x 日本")]
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(30_000))
+    rows += [(400, long), (401, long + " more"), (402, "y" * 200_000), (403, "Y" * 200_000 + "\n")]
     frame = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, fp int")
     got = simhash.near_duplicates(frame, group=group).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id")
     want = clusters(rows)
