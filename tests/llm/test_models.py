@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
 from mapframe.llm import language_model as lm
@@ -112,6 +113,34 @@ def test_linear_time_identity():
     assert np.isclose(machine.raw(numbers, weights, np.array([0, 12]))[0][0], want, rtol=1e-4)
 
 
+def score_of(text, machine):
+    """The score by its definition: features a word at a time, all pairs."""
+    raw, words = (text or "").encode(), re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    share = lambda many, times: min(1, times * many / max(len(raw), 1))
+    w, lines, some = max(len(words), 1), raw.count(b"\n") + 1, lambda pattern: len(re.findall(pattern, raw))
+    up, low = some(rb"[A-Z]"), some(rb"[a-z]")
+    numbers = [math.log2(1 + len(words)) / 16, math.log2(lines) / 12, up / max(up + low, 1), share(some(rb"[!-+\-/:-@\[-`{-~]"), 4), share(some(rb"[0-9]"), 8), share(some(rb"[\x80-\xff]"), 1)]
+    numbers += [sum(a == b for a, b in zip(words, words[1:])) / w, len(set(words)) / w, min(1, len(raw) / w / 24), min(1, w / lines / 200)]
+    hashed = sorted({xxhash.xxh64_intdigest(x.translate(LOWER).encode(), 7) % quality.BUCKETS for x in words})
+    at = hashed + [quality.BUCKETS + 12 * k + min(11, int(x * 12)) for k, x in enumerate(numbers)]
+    x = np.array([1 / math.sqrt(max(len(hashed), 1))] * len(hashed) + [1.0] * 10)
+    v = machine.v[at].astype(float) * x[:, None]
+    return 1 / (1 + math.exp(-(machine.w0 + machine.w[at] @ x + np.triu(v @ v.T, 1).sum())))
+
+
+def test_scores_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    machine = quality.Machine()
+    machine.w0, machine.w = -0.2, rng.normal(0, 0.3, len(machine.w)).astype(np.float32)
+    machine.v = rng.normal(0, 0.15, machine.v.shape).astype(np.float32)
+    texts = [None, "", " \n\t", "A a a B!", "é É 日本\n1,2.3 [x] {y}~", "word " * 30_000, "z" * 200_000, " ".join(f"W{k % 900}" for k in range(20_000)) + "\n" * 5000]
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    texts += [r.text for r in rows]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.scored(frame, machine, ["doc_id"]).collect():
+        assert abs(r.score - score_of(texts[r.doc_id], machine)) < 1e-4
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, "good words here", 0), (2, None, 0), (3, "", 0), (None, "x", 0), (1, "good words here", 0), (6, "W!! " * 20_000, 0)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (6, 0), (None, 1), (3, None), (77, 1)], "doc_id long, quality int")
