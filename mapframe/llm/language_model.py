@@ -49,6 +49,8 @@ PRIOR = 10
 #: The first level of the tree that adds up changes: groups of tasks, each by slices of the weights.
 _GROUPS, _SLICES = 16, 8
 _BATCH = 8192
+#: Rows of a run that are added for all runs at once.
+_SHORT = 6
 _END = bytes(16)
 
 
@@ -115,9 +117,23 @@ def logits(weights: np.ndarray, rows: tuple[np.ndarray, ...], bias: np.ndarray)
     return out
 
 
-def log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def _exps(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(largest, sums)`` of each row, as columns; in place of the logits come their exponentials, the largest being 1. A
+    row of :data:`CLASSES` or :data:`SLOTS` is short, so its maximum is taken by halves of all rows and its sum as a product."""
+    largest = logits
+    while largest.shape[1] > 1:
+        half = largest.shape[1] // 2
+        largest = np.maximum(largest[:, :half], largest[:, half:])
+    logits -= largest
+    np.exp(logits, out=logits)
+    return largest, logits @ np.ones((logits.shape[1], 1), logits.dtype)
+
+
+def log_chosen(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of each row at its ``chosen`` place; the logits are overwritten."""
+    own = logits[np.arange(len(chosen)), chosen]
+    largest, sums = _exps(logits)
+    return own - largest[:, 0] - np.log(sums[:, 0])
 
 
 class Vocabulary:
@@ -143,11 +159,26 @@ class Vocabulary:
 
 
 def _gradient(weights: np.ndarray, rows: tuple[np.ndarray, ...], bias: np.ndarray, target: np.ndarray) -> np.ndarray:
-    miss = np.exp(log_softmax(logits(weights, rows, bias)))
+    miss = logits(weights, rows, bias)
+    miss /= _exps(miss)[1]
     miss[np.arange(len(target)), target] -= 1
     return miss
 
 
+def _sums(values: np.ndarray, order: np.ndarray, starts: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The sum of ``values[order]`` over each run of ``many`` rows. Most runs are short, so the first rows of all are added
+    at once; what is left of the others goes to ``reduceat``, whose cost is by run and column."""
+    out = values[order[starts]]
+    for k in range(1, _SHORT):
+        more = np.flatnonzero(many > k)
+        out[more] += values[order[starts[more] + k]]
+    more = np.flatnonzero(many > _SHORT)
+    if len(more):
+        rest = many[more] - _SHORT
+        out[more] += np.add.reduceat(values[order[ranges(starts[more] + _SHORT, rest)]], np.cumsum(rest) - rest, axis=0)
+    return out
+
+
 def _step(weights: np.ndarray, seen: np.ndarray, squares: np.ndarray, rows: tuple[np.ndarray, ...], miss: np.ndarray, rate: float) -> None:
     """One AdaGrad step for each row of the weights that a batch has."""
     for h in rows:
@@ -155,9 +186,11 @@ def _step(weights: np.ndarray, seen: np.ndarray, squares: np.ndarray, rows: tupl
         ordered = h[order]
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         at, many = ordered[starts], np.diff(np.append(starts, len(ordered)))
-        step = np.add.reduceat(miss[order], starts, axis=0) / (many + PRIOR).astype(np.float32)[:, None]
-        squares[at] += (step * step).mean(axis=1)
-        weights[at] -= (rate * step / np.sqrt(squares[at])[:, None]).astype(np.float32)
+        step = _sums(miss, order, starts, many)
+        step /= (many + PRIOR).astype(np.float32)[:, None]
+        squares[at] += np.einsum("ij,ij->i", step, step) / step.shape[1]
+        step *= (rate / np.sqrt(squares[at])).astype(np.float32)[:, None]
+        weights[at] -= step
         seen[at] += many
 
 
@@ -185,9 +218,8 @@ def factors(weights: np.ndarray, tokens: Tokens, known: Vocabulary) -> tuple[np.
     out = np.empty(len(target))
     for k in range(0, len(target), _BATCH):
         own, place = target[k : k + _BATCH], slot[k : k + _BATCH]
-        n = np.arange(len(own))
-        by_class = log_softmax(logits(weights, tuple(h[k : k + _BATCH] for h in history), weights[BIAS]))[n, own]
-        out[k : k + _BATCH] = by_class + log_softmax(logits(weights, tuple(h[k : k + _BATCH] for h in by_word), known.bias[own]))[n, place]
+        by_class = log_chosen(logits(weights, tuple(h[k : k + _BATCH] for h in history), weights[BIAS]), own)
+        out[k : k + _BATCH] = by_class + log_chosen(logits(weights, tuple(h[k : k + _BATCH] for h in by_word), known.bias[own]), place)
     return out / math.log(10), slot == SLOTS - 1
 
 

@@ -91,6 +91,19 @@ def test_descent_lowers_the_loss():
     assert loss() < before / 3
 
 
+def test_sums_of_runs_and_softmax_against_brute_force():
+    rng = np.random.default_rng(5)
+    h = np.sort(np.concatenate([rng.integers(0, 50, 400), np.full(300, 7), np.arange(60, 80)])).astype(np.uint16)
+    values, order = rng.normal(size=(len(h), lm.CLASSES)).astype(np.float32), rng.permutation(len(h))
+    at, starts, many = np.unique(h, return_index=True, return_counts=True)
+    want = np.stack([values[order[h == x]].astype(float).sum(axis=0) for x in at])
+    assert np.allclose(lm._sums(values, order, starts, many), want, atol=1e-3)
+    x, chosen = (rng.normal(size=(200, lm.SLOTS)) * rng.choice([1, 60], (200, 1))).astype(np.float32), rng.integers(0, lm.SLOTS, 200)
+    exact = x.astype(float) - x.max(axis=1, keepdims=True)
+    exact = (exact - np.log(np.exp(exact).sum(axis=1, keepdims=True)))[np.arange(200), chosen]
+    assert np.allclose(lm.log_chosen(x.copy(), chosen), exact, atol=1e-3)
+
+
 # --- quality
 
 
